@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.llm.consolidate import consolidate_matches
+from lorekiln.llm.encode import encode_texts
+from lorekiln.llm.pack import pack_documents
 from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key
 
 
@@ -44,11 +46,22 @@ def p3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _survivors(spark, sf)[2]
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(_t(spark, sf, "documents"))
+
+
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = encode_texts(_t(spark, sf, "documents"), sizes_only=True)
+    return pack_documents(sizes, _t(spark, sf, "prompt_windows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_retained": p3_retained,
     "p3_quality": p3_quality,
+    "p7_ids": p7_ids,
+    "p8_packing": p8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
