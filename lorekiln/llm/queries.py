@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lorekiln.llm.consolidate import consolidate_matches
 from lorekiln.llm.encode import encode_texts
 from lorekiln.llm.pack import pack_documents
+from lorekiln.llm.reading import fit_scale, reading_levels
+from lorekiln.llm.shared_spans import shared_spans
 from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key
 
 
@@ -46,6 +48,10 @@ def p3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _survivors(spark, sf)[2]
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans(_t(spark, sf, "judge_batch"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(_t(spark, sf, "documents"))
 
@@ -55,13 +61,21 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(sizes, _t(spark, sf, "prompt_windows"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    story = (F.col("lang") == "en") & F.col("doc_kind").isin("chapter", "recap")
+    scale = fit_scale(_t(spark, sf, "reading_passages"))
+    return reading_levels(_t(spark, sf, "documents"), scale, where=story).select("doc_id", "reading_level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_retained": p3_retained,
     "p3_quality": p3_quality,
+    "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_packing": p8_packing,
+    "p9_found": p9_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}
