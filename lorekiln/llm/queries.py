@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorekiln.llm.consolidate import consolidate_matches
 from lorekiln.llm.encode import encode_texts
 from lorekiln.llm.pack import pack_documents
+from lorekiln.llm.reply_defects import fit_ends, fit_languages, reply_defects
 from lorekiln.llm.reading import fit_scale, reading_levels
 from lorekiln.llm.shared_spans import shared_spans
 from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key
@@ -19,6 +20,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _t(spark, sf, "validation_batch").select("record_id", "question", "answer", "explanation")
+    languages = fit_languages(_t(spark, sf, "documents"))
+    replies = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("answer", "explanation")]
+    ends = fit_ends(pairs.select(F.explode(F.array(*replies)).alias("r")).select("r.*"))
+    return reply_defects(pairs, languages, ends)
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate_matches(_t(spark, sf, "quote_matches"), _t(spark, sf, "judge_batch"))
 
@@ -68,6 +77,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_retained": p3_retained,
