@@ -22,7 +22,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _t(spark, sf, "validation_batch").select("record_id", "question", "answer", "explanation")
-    languages = fit_languages(_t(spark, sf, "documents"))
+    languages = fit_languages(_t(spark, sf, "documents"), pairs)
     replies = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("answer", "explanation")]
     ends = fit_ends(pairs.select(F.explode(F.array(*replies)).alias("r")).select("r.*"))
     return reply_defects(pairs, languages, ends)

@@ -8,7 +8,6 @@ interpolated n-gram model of text ends over all replies.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -17,7 +16,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import missing_py
@@ -27,21 +26,47 @@ TRAIN_PER_LANGUAGE = 400  # labelled texts a language for the naive Bayes model
 TRAIN_CHARS = 2_000  # of each labelled text, at most
 MAX_CONTEXTS = 200_000  # most frequent end-of-text contexts that are sent to the workers
 MAX_WORDS = 20_000  # most frequent words that keep a class of their own
-MARGIN = 3.0  # nats by which another language must win
+MARGIN = 1.5  # nats by which another language must win
+LEAST_WORDS = 3
+ADAPT_ROWS = 4_000
 CLIP = 2.0  # nats one word may add to a language's lead
 END_BELOW = 0.1
 ORDER = 4  # words in the longest context of a text end, the two marks before a text included
 
-#: Function words and endings that seed languages without labelled texts.
+#: Short prose that seeds each language, also where no labelled text exists.
 SEED_TEXT = {
-    "en": "the of and to in that was for with his her they which had been from not were there their would about",
-    "de": "der die das und ist nicht ein eine zu den von mit dem für auf sich hat wurde nach bei über oder aber",
-    "fr": "le la les des une est dans que qui pour avec sur pas plus par sont était cette son ses mais elle",
-    "es": "el la los las una que del por con para como más pero sus fue este había está cuando muy también",
-    "it": "il lo la gli una che di per con sono della nel più anche come era suo sua alla dei questo quando perché",
+    "en": "The old man who lived in the house by the sea had never told anyone what he saw that night, but when the winter came and "
+    "there was nothing left to eat, his daughter asked him why they could not go with the others. He said that it was too far and that "
+    "the roads were closed. Where would you go? Who would take you? How many days, and for which reason? Then she opened the door, took "
+    "her coat and left without another word. She had been in the town before, because her mother was born there, and some of them still "
+    "knew her. At last everything was quiet again under the bridge, behind the church and in the long street near the market.",
+    "de": "Der alte Mann, der in dem Haus am Meer lebte, hatte niemandem erzählt, was er in jener Nacht gesehen hat, aber als der Winter kam "
+    "und nichts mehr zu essen da war, fragte ihn seine Tochter, warum sie nicht mit den anderen gehen konnten. Er sagte, dass es zu weit "
+    "sei und die Straßen gesperrt wären. Wohin würdest du gehen? Wer hat dich gesehen? Wann und wie viele Tage? Dann öffnete sie die Tür, "
+    "nahm ihren Mantel und ging ohne ein weiteres Wort. Sie war schon früher in der Stadt gewesen, weil ihre Mutter dort geboren wurde, und "
+    "einige kannten sie noch. Endlich war alles wieder still unter der Brücke, hinter der Kirche und in der langen Straße neben dem Markt.",
+    "fr": "Le vieil homme qui vivait dans la maison au bord de la mer n'avait jamais dit à personne ce qu'il avait vu cette nuit-là, mais quand "
+    "l'hiver est venu et qu'il ne restait plus rien à manger, sa fille lui a demandé pourquoi ils ne pouvaient pas partir avec les autres. Il "
+    "a répondu que c'était trop loin et que les routes étaient fermées. Où irais-tu ? Qui t'a vue ? Quand, et combien de jours ? Alors elle a "
+    "ouvert la porte, a pris son manteau et elle est partie sans un mot de plus. Elle était déjà venue en ville, parce que sa mère y était née, "
+    "et quelques-uns la connaissaient encore. Enfin tout était calme sous le pont, derrière l'église et dans la longue rue à côté du marché.",
+    "es": "El viejo que vivía en la casa junto al mar nunca había dicho a nadie lo que vio aquella noche, pero cuando llegó el invierno y ya no "
+    "quedaba nada para comer, su hija le preguntó por qué no podían irse con los otros. Él respondió que estaba demasiado lejos y que los "
+    "caminos estaban cerrados. ¿Adónde irías? ¿Quién te ha visto? ¿Cuándo y cuántos días? Entonces ella abrió la puerta, tomó su abrigo y se "
+    "fue sin decir otra palabra. Ya había estado en la ciudad, porque su madre nació allí, y algunos todavía la conocían. Por fin todo estaba "
+    "tranquilo debajo del puente, detrás de la iglesia y en la larga calle al lado del mercado, aunque nadie lo sabía.",
+    "it": "Il vecchio che viveva nella casa vicino al mare non aveva mai detto a nessuno quello che aveva visto quella notte, ma quando arrivò "
+    "l'inverno e non restava più niente da mangiare, sua figlia gli chiese perché non potevano andare via con gli altri. Lui rispose che era "
+    "troppo lontano e che le strade erano chiuse. Dove andresti? Chi ti ha visto? Quando e quanti giorni? Allora lei ha aperto la porta, ha "
+    "preso il suo cappotto ed è uscita senza dire un'altra parola. Era già stata in città, perché sua madre era nata lì, e alcuni la "
+    "conoscevano ancora. Finalmente tutto era tranquillo sotto il ponte, dietro la chiesa e nella lunga via accanto al mercato, anche se non lo sapeva.",
 }
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_QUOTED = re.compile(r"\"[^\"]*\"")
+
+
 def plain(text: str) -> str:
     t = unicodedata.normalize("NFKC", text)
     return " ".join(t.replace("’", "'").replace("“", '"').replace("”", '"').split())
@@ -53,7 +78,7 @@ def plain(text: str) -> str:
 def char_grams(text: str) -> Counter:
     """Character 2- to 4-grams of the lower-case words of a text, a word's ends marked by a space."""
     out: Counter = Counter()
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w in _LETTERS.findall(text.lower()):
         w = f" {w} "
         for n in (2, 3, 4):
             for i in range(len(w) - n + 1):
@@ -65,51 +90,78 @@ class LanguageModel:
     """Naive Bayes over character n-grams with add-half smoothing; words are the units of evidence."""
 
     def __init__(self, counts: dict[str, Counter]):
-        self.langs = sorted(counts)
-        grams = set().union(*counts.values()) if counts else set()
-        total = {k: sum(c.values()) + 0.5 * (len(grams) + 1) for k, c in counts.items()}
-        self.weights = {g: np.array([math.log((counts[k][g] + 0.5) / total[k]) for k in self.langs]) for g in grams}
-        self.default = np.array([math.log(0.5 / total[k]) for k in self.langs])
+        self.counts, self.langs = counts, sorted(counts)
+        grams = sorted(set().union(*counts.values()))
+        total = np.array([sum(counts[k].values()) + 0.5 * (len(grams) + 1) for k in self.langs])
+        table = np.array([[counts[k][g] for k in self.langs] for g in grams] + [[0] * len(self.langs)], float)
+        self.table = np.log((table + 0.5) / total)
+        self.index = {g: i for i, g in enumerate(grams)}
+        self.known: dict[str, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}, "counts": {}}
 
     def word(self, w: str) -> np.ndarray:
         """Log likelihood of a word by language. The orders overlap, so their sum is averaged; and no word may speak
         louder than ``CLIP`` nats, as names follow no language."""
-        s = np.zeros(len(self.langs))
-        get, default = self.weights.get, self.default
-        for g, n in char_grams(w).items():
-            s += n * get(g, default)
-        s /= 3
-        return np.maximum(s - s.max(), -CLIP)
+        got = self.known.get(w)
+        if got is None:
+            get, last = self.index.get, len(self.index)
+            s = self.table[[get(g, last) for g in char_grams(w).elements()]].sum(axis=0) / 3
+            got = np.maximum(s - s.max(), -CLIP)
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[w] = got
+        return got
 
     def score(self, text: str) -> np.ndarray:
         """Log posterior by language up to a constant."""
-        out = np.zeros(len(self.langs))
-        for w in re.findall(r"[^\W\d_]+", text):
-            out += self.word(w)
-        return out
+        return sum((self.word(w) for w in _LETTERS.findall(text.lower())), np.zeros(len(self.langs)))
 
 
-def fit_languages(documents: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on at most ``TRAIN_PER_LANGUAGE`` labelled texts a language, the ones of smallest hash."""
+def fit_languages(
+    documents: DataFrame, pairs: DataFrame | None = None, text: str = "text", lang: str = "lang", question: str = "question"
+) -> LanguageModel:
+    """Fit on seeds and at most ``TRAIN_PER_LANGUAGE`` labelled texts a language, the ones of smallest hash; then once
+    more with at most ``ADAPT_ROWS`` prompts of ``pairs`` that the first model assigns without doubt, so that a
+    language without labelled texts is learnt in the wording of the pairs."""
     counts = {k: char_grams(SEED_TEXT[k]) for k in LANGUAGES}
-    for k in LANGUAGES:
-        rows = documents.where((F.lower(lang) == k) & (F.length(text) > 40)).select(F.substring(text, 1, TRAIN_CHARS).alias("t"))
-        for r in rows.orderBy(F.xxhash64("t"), "t").limit(TRAIN_PER_LANGUAGE).collect():
-            counts[k].update(char_grams(plain(r.t)))
-    return LanguageModel(counts)
+    usable = documents.where(F.lower(lang).isin(*LANGUAGES) & (F.length(text) > 40))
+    usable = usable.select(F.lower(lang).alias("k"), F.substring(text, 1, TRAIN_CHARS).alias("t"))
+    bucket = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t"))
+    for r in usable.withColumn("n", bucket).where(F.col("n") <= TRAIN_PER_LANGUAGE).collect():
+        counts[r.k].update(char_grams(plain(r.t)))
+    model = LanguageModel(counts)
+    if pairs is not None:
+        more = {k: Counter() for k in LANGUAGES}
+        asked = pairs.where(F.length(question) > 20).select(F.substring(question, 1, TRAIN_CHARS).alias("t"))
+        for r in asked.orderBy(F.xxhash64("t"), "t").limit(ADAPT_ROWS).collect():
+            s = model.score(plain(r.t))
+            first, second = np.sort(s)[::-1][:2]
+            if first - second > 4 * MARGIN:
+                more[model.langs[int(s.argmax())]].update(char_grams(plain(r.t)))
+        model = LanguageModel({k: counts[k] + more[k] for k in LANGUAGES})
+    return model
 
 
 def other_language(model: LanguageModel, question: str, reply: str, margin: float = MARGIN) -> bool:
-    """True if a language other than the question's beats it by ``margin`` in the reply. Names and numbers alone stay
-    undecided, and words in quotes do not count."""
-    return language_gap(model, question, reply) > margin
+    """True if a language other than the question's beats it by ``margin`` in the reply, on the evidence of at least
+    ``LEAST_WORDS`` words. Names and numbers stay undecided; words in quotes and words of the question do not count."""
+    gap, words = language_gap(model, question, reply)
+    return gap > margin and words >= LEAST_WORDS
 
 
-def language_gap(model: LanguageModel, question: str, reply: str) -> float:
-    reply = re.sub(r"\"[^\"]*\"|„[^“]*“|«[^»]*»", " ", reply)
-    q, r = model.score(question), model.score(reply)
-    ask = int(q.argmax())
-    return float(r.max() - r[ask])
+def language_gap(model: LanguageModel, question: str, reply: str) -> tuple[float, int]:
+    """Lead of the reply's best language over the question's, and how many words speak for it."""
+    asked = _LETTERS.findall(question.lower())
+    own = set(asked)
+    said = [w for w in _LETTERS.findall(_QUOTED.sub(" ", reply).lower()) if w not in own]
+    if not said:
+        return 0.0, 0
+    each = np.array([model.word(w) for w in said])
+    r = each.sum(axis=0)
+    ask, best = int(model.score(question).argmax()), int(r.argmax())
+    return float(r[best] - r[ask]), int((each[:, best] - each[:, ask] > 0.5).sum())
 
 
 # ---------------------------------------------------------------- refusals and copies
@@ -147,7 +199,6 @@ _REFUSAL_ELSEWHERE = re.compile(
     r"no puedo (?:responder|ayudar|dar)|lo siento|non posso (?:rispondere|aiutare|fornire)|mi dispiace)\b",
     re.I,
 )
-_QUOTED = re.compile(r"\"[^\"]*\"")
 
 
 def refuses(reply: str) -> bool:
