@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lorekiln.plans import core_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_queries.QUERIES}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "p5_found"
