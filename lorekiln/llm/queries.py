@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.llm.consolidate import consolidate_matches
 from lorekiln.llm.encode import encode_texts
+from lorekiln.llm.history_dedup import history_duplicates
 from lorekiln.llm.pack import pack_documents
 from lorekiln.llm.reply_defects import fit_ends, fit_languages, reply_defects
 from lorekiln.llm.reading import fit_scale, reading_levels
@@ -61,6 +62,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(_t(spark, sf, "judge_batch"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return history_duplicates(_t(spark, sf, "staging_batch"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(_t(spark, sf, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_retained": p3_retained,
     "p3_quality": p3_quality,
     "p4_found": p4_found,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_packing": p8_packing,
     "p9_found": p9_found,
