@@ -68,7 +68,7 @@ def pack_documents(
     Only a document larger than the window is split, into full windows and a rest; the full pieces fill prompts of
     their own. Items are hashed into blocks of about ``block_items`` and each block is packed by itself; prompts left
     with more than ``slack`` of their capacity unused are dissolved and packed again in fewer blocks, until one block
-    is left. Documents without tokens need no room: one row with a null prompt_id. Windows with a null or
+    is left or a round no longer halves the loose items. Documents without tokens need no room: one row with a null prompt_id. Windows with a null or
     non-positive capacity are left out; repeated rows are packed as often as they stand. Empty tables: an empty result.
     """
     spark = sizes.sparkSession
@@ -95,21 +95,21 @@ def pack_documents(
         )
     ]
     left = items.where("size < cap and size > 0")
-    done, tables = 0, []
+    done, before = 0, math.inf
     shape = f"window_id int, cap int, uid long, doc {kind}, piece_no int, start int, size long, prompt_id string, fill long"
     while True:
         most = max((r["count"] for r in left.groupBy("window_id").count().collect()), default=0)  # a row per window
         if not most:
             break
-        blocks = math.ceil(most / block_items)
+        last = most <= block_items or most > before / 2
+        blocks, before = math.ceil(most / block_items), most
         blocked = left.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(done)), F.lit(blocks)).cast("int"))
         packed = work.put(blocked.groupBy("window_id", "block").applyInPandas(_packer(done), shape), "packed")
-        tables.append(packed)
         loose = F.col("cap") - F.col("fill") > slack * F.col("cap")
-        keep = packed if blocks == 1 else packed.where(~loose)
+        keep = packed if last else packed.where(~loose)
         result.append(keep.select("window_id", "prompt_id", "doc", "piece_no", "start", "size"))
         done += 1
-        if blocks == 1:
+        if last:
             break
         left = packed.where(loose).select("window_id", "cap", "uid", "doc", "piece_no", "start", "size")
     out = result[0]

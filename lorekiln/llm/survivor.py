@@ -7,13 +7,14 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorekiln.functions.text import identity_form, is_missing
 from lorekiln.llm.components import grid_components
 from lorekiln.plans.stage import Stages
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def question_key(t: pd.Series) -> pd.Series:
     """``identity_form`` of each text; null where nothing is left."""
     return t.map(lambda x: identity_form(x) or None)
