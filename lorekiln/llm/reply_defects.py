@@ -322,7 +322,8 @@ def fit_ends(replies: DataFrame, field: str = "field", text: str = "text") -> En
                     if w[0].isalpha():
                         (big if w[0].isupper() and i else small)[w.lower()] += 1
         keys = list(small.keys() | big.keys())
-        yield pd.DataFrame({"w": keys, "small": [small[k] for k in keys], "big": [big[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"w": keys, "small": [small[k] for k in keys], "big": [big[k] for k in keys]})
 
     rows = replies.select(F.col(field).alias("f"), F.col(text).alias("t"))
     full = F.col("t").rlike(r"[^.][.!?][\s\"'”’)\]]*$")
@@ -359,7 +360,8 @@ def fit_ends(replies: DataFrame, field: str = "field", text: str = "text") -> En
                         if end:
                             ended[c] += 1
         keys = list(seen)
-        yield pd.DataFrame({"c": keys, "seen": [seen[x] for x in keys], "ended": [ended[x] for x in keys]})
+        if keys:
+            yield pd.DataFrame({"c": keys, "seen": [seen[x] for x in keys], "ended": [ended[x] for x in keys]})
 
     c = rows.mapInPandas(contexts, "c string, seen long, ended long")
     c = c.groupBy("c").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
@@ -422,7 +424,8 @@ def reply_defects(
                         out.append((row[0], name, "other_language"))
                     elif truncated(em, name, t):
                         out.append((row[0], name, "truncated"))
-            yield pd.DataFrame(out, columns=["id", "field_name", "defect"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "field_name", "defect"])
 
     kind = pairs.schema[record_id].dataType.simpleString()
     got = pairs.select(record_id, question, *fields).mapInPandas(judge, f"id {kind}, field_name string, defect string")
