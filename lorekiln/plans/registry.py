@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekiln.plans import core_queries
+from lorekiln.plans import core_queries, reference_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "p5_found"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_queries.QUERIES, **reference_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**reference_queries.ORACLE_SQL}
+FLAGSHIP = "tfidf_ngram_rank"
