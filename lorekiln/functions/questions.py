@@ -1,11 +1,13 @@
-"""Column functions over question and answer texts (all JVM-side)."""
+"""Column functions over question and answer texts (JVM-side but for the fuzzy ratio)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Keyword sets, phrases and names of the question classifiers.
 PRIORITY_1 = ("what", "name", "who", "where", "when", "which", "how", "why")
@@ -161,6 +163,11 @@ def correlation_strength(r: Column) -> Column:
     )
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation of two columns as an aggregate; null below two rows or without variance."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def right_closed_bin(c: Column, edges: list[float], labels: list[str]) -> Column:
     """Label of the bin (low, high] that holds a value; null outside."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -169,28 +176,27 @@ def right_closed_bin(c: Column, edges: list[float], labels: list[str]) -> Column
     return out
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (m + n) over characters, by a rolling row of the dynamic programme; 1 for two empty texts."""
-    x, y = (F.split(F.coalesce(t, F.lit("")), "") for t in (a, b))
-    x, y = (F.filter(t, lambda c: c != "") for t in (x, y))
-    zero = F.array_repeat(F.lit(0), F.size(y) + 1)
-
-    def row(prev: Column, ch: Column) -> Column:
-        # cells left to right; the running array holds the new row
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(y)),
-            F.array(F.lit(0)),
-            lambda cur, j: F.concat(
-                cur,
-                F.array(
-                    F.when(F.get(y, j - 1) == ch, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(cur, -1)))
-                ),
-            ),
-        )
-
-    lcs = F.element_at(F.aggregate(x, zero, row), -1)
-    n = F.size(x) + F.size(y)
-    return F.when(n == 0, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * lcs / n)
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the programme at a time as bits of one integer."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 * LCS / (m + n) over characters; 1 for two empty texts, null counts as empty."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = x or "", y or ""
+        out.append(2.0 * lcs_length(x, y) / (len(x) + len(y)) if x or y else 1.0)
+    return pd.Series(out, dtype="float64")
 
 
 def cosine(a: Column, b: Column) -> Column:

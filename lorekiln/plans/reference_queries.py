@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions import questions as fq
+from lorekiln.operators import evaluate
+from lorekiln.operators.clusters import connected
+from lorekiln.streaming.telemetry import windowed_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -392,7 +395,7 @@ def len_descriptive_stats(s, d):
     w = F.col("w")
     n, q = F.count(w), [F.percentile(w, F.lit(p)) for p in (0.25, 0.5, 0.75)]
     # bias-corrected like the adjusted Fisher-Pearson coefficient
-    skew = F.skewness(w) * F.sqrt(n * (n - 1)) / (n - 2)
+    skew = F.try_divide(F.skewness(w) * F.sqrt(n * (n - 1)), n - 2)
     return t(s, d, "validation_batch").select(fq.word_count(F.col("answer")).alias("w")).agg(
         n.alias("n"), F.round(F.avg(w), 6).alias("mean"), F.round(F.stddev_samp(w), 6).alias("std"), F.min(w).alias("min"), F.max(w).alias("max"),
         q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), (q[2] - q[0]).alias("iqr"), (F.max(w) - F.min(w)).alias("range"), F.round(skew, 6).alias("skew"),
@@ -407,8 +410,7 @@ QW = WC.format("question")
 )
 def keyword_metrics(s, d):
     x = t(s, d, "validation_batch").select(fq.main_keyword(fq.tokens(F.col("question"))).alias("main_keyword"), fq.word_count(F.col("question")).alias("q"), fq.word_count(F.col("answer")).alias("a"))
-    ok = (F.count("*") >= 2) & (F.stddev_samp("q") > 0) & (F.stddev_samp("a") > 0)
-    return x.groupBy("main_keyword").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_answer"), F.round(F.when(ok, F.corr("q", "a")), 6).alias("r"))
+    return x.groupBy("main_keyword").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_answer"), F.round(fq.pearson("q", "a"), 6).alias("r"))
 
 
 @query(
@@ -422,12 +424,12 @@ def keyword_summary(s, d):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice),6) AS r, count(*) AS n FROM lineitem")
 def pearson_corr(s, d):
-    return t(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.count("*").alias("n"))
+    return t(s, d, "lineitem").agg(F.round(fq.pearson("l_quantity", "l_extendedprice"), 6).alias("r"), F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag, CASE WHEN count(*) < 10 THEN NULL ELSE round(corr(l_quantity, l_extendedprice),6) END AS r FROM lineitem GROUP BY 1")
 def corr_by_group(s, d):
-    return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.when(F.count("*") >= 10, F.round(F.corr("l_quantity", "l_extendedprice"), 6)).alias("r"))
+    return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.when(F.count("*") >= 10, F.round(fq.pearson("l_quantity", "l_extendedprice"), 6)).alias("r"))
 
 
 @query(
@@ -896,7 +898,7 @@ def exact_match(s, d):
 
 @query()
 def fuzzy_ratio(s, d):
-    v = t(s, d, "validation_batch").select("record_id", "answer", F.explode("answer_variations").alias("variation")).where("char_length(answer) <= 40")
+    v = t(s, d, "validation_batch").select("record_id", "answer", F.explode("answer_variations").alias("variation"))
     return v.select("record_id", "variation", F.round(fq.indel_ratio(F.lower("answer"), F.lower("variation")), 6).alias("ratio"))
 
 
@@ -968,3 +970,107 @@ def null_integrity(s, d):
 )
 def ingest_validate(s, d):
     return t(s, d, "staging_batch").dropna(subset=["question", "answer"]).groupBy("question", "answer").agg(F.min("staging_id").alias("staging_id"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- clusters, evaluation, streams
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT temp_qid_a AS a, temp_qid_b AS b FROM quote_matches WHERE is_match AND temp_qid_a <> temp_qid_b UNION SELECT temp_qid_b, temp_qid_a FROM quote_matches WHERE is_match AND temp_qid_a <> temp_qid_b), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node, min(reach) AS cluster FROM r GROUP BY 1"
+)
+def connected_components(s, d):
+    return connected(t(s, d, "quote_matches").where("is_match"), "temp_qid_a", "temp_qid_b")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT temp_qid_a AS a, temp_qid_b AS b FROM quote_matches WHERE quote_similarity > 0.95 AND NOT isnan(quote_similarity) AND temp_qid_a <> temp_qid_b UNION SELECT temp_qid_b, temp_qid_a FROM quote_matches WHERE quote_similarity > 0.95 AND NOT isnan(quote_similarity) AND temp_qid_a <> temp_qid_b), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY 1) SELECT cluster, count(*) AS n, max(node) AS last FROM c GROUP BY 1"
+)
+def group_duplicates(s, d):
+    q = F.col("quote_similarity")
+    c = connected(t(s, d, "quote_matches").where((q > 0.95) & ~F.isnan(q)), "temp_qid_a", "temp_qid_b")
+    return c.groupBy("cluster").agg(F.count("*").alias("n"), F.max("node").alias("last"))
+
+
+
+
+@query(
+    f"SELECT record_id, CASE WHEN p = g THEN 'fr_exact' WHEN false THEN 'fr_fuzzy' WHEN pw > 6 OR (pw >= 2*gw AND pw >= 8) THEN CASE WHEN record_id % 2 = 0 THEN 'fr_llm_judge_pass' ELSE 'fr_llm_judge_fail' END WHEN sim >= 0.8 THEN 'fr_passed_primary_semantic' WHEN sim >= 0.5 AND hit AND least(sim + 0.1, 1.0) >= 0.8 THEN 'fr_passed_semantic_boosted' ELSE 'fr_failed_primary_semantic' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(answer_variations[1]) AS g, {WC.format('answer')} AS pw, {WC.format('answer_variations[1]')} AS gw, (record_id % 100) / 100.0::DOUBLE AS sim, record_id % 3 = 0 AS hit FROM validation_batch WHERE answer IS NOT NULL AND answer_variations[1] IS NOT NULL)"
+)
+def eval_fr(s, d):
+    v = t(s, d, "validation_batch").withColumn("g", F.get("answer_variations", F.lit(0))).where("answer is not null and g is not null")
+    i = F.col("record_id")
+    tier = evaluate.evaluate_fr(F.lower("answer"), F.lower("g"), F.lit(0.0), (i % 100) / F.lit(100.0), i % 3 == 0, i % 2 == 0)
+    return v.select("record_id", tier.alias("tier"))
+
+
+@query(
+    f"SELECT record_id, CASE WHEN p = g THEN 'ex_exact' WHEN sim < 0.4 AND NOT (pw >= 2*gw) THEN 'ex_failed_semantic' WHEN record_id % 2 = 0 THEN 'ex_llm_judge_pass' ELSE 'ex_llm_judge_fail' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(explanation) AS g, {WC.format('answer')} AS pw, {WC.format('explanation')} AS gw, (record_id % 100) / 100.0::DOUBLE AS sim FROM validation_batch WHERE answer IS NOT NULL AND explanation IS NOT NULL)"
+)
+def eval_ex(s, d):
+    v = t(s, d, "validation_batch").where("answer is not null and explanation is not null")
+    i = F.col("record_id")
+    tier = evaluate.evaluate_ex(F.lower("answer"), F.lower("explanation"), F.lit(0.0), (i % 100) / F.lit(100.0), i % 2 == 0)
+    return v.select("record_id", tier.alias("tier"))
+
+
+@query(
+    "SELECT record_id, CASE WHEN p = g THEN 'mcq_exact' WHEN record_id % 100 >= 75 AND record_id % 10 >= 3 THEN 'mcq_passed_semantic' ELSE 'mcq_failed_semantic' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(mcq_options[1]) AS g FROM validation_batch WHERE answer IS NOT NULL AND mcq_options[1] IS NOT NULL)"
+)
+def eval_mcq(s, d):
+    v = t(s, d, "validation_batch").withColumn("g", F.get("mcq_options", F.lit(0))).where("answer is not null and g is not null")
+    i = F.col("record_id")
+    tier = evaluate.evaluate_mcq(F.lower("answer"), F.lower("g"), F.lit(0.0), (i % 100) / F.lit(100.0), (i % 10) / F.lit(10.0))
+    return v.select("record_id", tier.alias("tier"))
+
+
+
+
+def _number_sql(c: str) -> str:
+    words = c
+    for w, n in fq.NUMBER_WORDS:
+        words = f"regexp_replace({words}, '\\b{w}\\b', '{n}', 'gi')"
+    got = f"regexp_extract_all(replace(lower({words}),',',''), '[0-9]+')"
+    sign = rf"CASE WHEN regexp_matches(lower({words}), '\b(bc|bce|b\.c\.|b\.c\.e\.)(\b|$| )') THEN -1 ELSE 1 END"
+    return f"CASE WHEN len({got}) = 1 THEN TRY_CAST({got}[1] AS BIGINT) * {sign} END"
+
+
+@query(
+    f"SELECT record_id, CASE WHEN g IS NULL THEN 'numeric_exact_fail_invalid_gold' WHEN p IS NULL THEN 'numeric_exact_fail_invalid_or_no_num' WHEN p = g THEN 'numeric_exact_pass' ELSE 'numeric_exact_fail' END AS tier FROM (SELECT record_id, {_number_sql('answer')} AS p, {_number_sql('answer_variations[1]')} AS g FROM validation_batch)"
+)
+def eval_numeric(s, d):
+    v = t(s, d, "validation_batch")
+    return v.select("record_id", evaluate.evaluate_numeric(F.col("answer"), F.get("answer_variations", F.lit(0))).alias("tier"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+def windowed_telemetry(s, d):
+    w = windowed_rollup(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(
+    f"WITH {_TFIDF.replace('validation_batch', 'staging_batch').replace('record_id', 'staging_id')}, b AS (SELECT staging_id, batch_no FROM staging_batch) SELECT x.staging_id AS id_a, y.staging_id AS id_b, round(sum(x.w*y.w), 4) AS cos FROM w x JOIN w y ON x.term = y.term AND x.staging_id < y.staging_id JOIN b p ON p.staging_id = x.staging_id JOIN b q ON q.staging_id = y.staging_id AND p.batch_no = q.batch_no GROUP BY 1, 2 HAVING sum(x.w*y.w) >= 0.6"
+)
+def cosine_tfidf_pairs(s, d):
+    b = t(s, d, "staging_batch").select("staging_id", "batch_no", "question")
+    w = tfidf(b, "staging_id", fq.tokens(F.col("question"))).join(b.select("staging_id", "batch_no"), "staging_id")
+    x = w.select("batch_no", "term", F.col("staging_id").alias("id_a"), F.col("w").alias("wa"))
+    y = w.select("batch_no", "term", F.col("staging_id").alias("id_b"), F.col("w").alias("wb"))
+    # within a batch only: terms that many batches share never meet across them
+    p = x.join(y, ["batch_no", "term"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("c"))
+    return p.where("c >= 0.6").select("id_a", "id_b", F.round("c", 4).alias("cos"))
+
+
+@query("SELECT source_reference, count(*) AS n FROM quote_matches WHERE is_match AND NOT (source_reference IS NULL) GROUP BY 1")
+def judge_filter(s, d):
+    return t(s, d, "quote_matches").where("is_match and source_reference is not null").groupBy("source_reference").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH q AS (SELECT question_type, quantile_cont({AW}, 0.25) AS q1, quantile_cont({AW}, 0.75) AS q3 FROM validation_batch WHERE question_type IN ('EX','FR','MCQ') GROUP BY 1) SELECT a.question_type AS type_a, b.question_type AS type_b, a.q1 <= b.q3 AND b.q1 <= a.q3 AS overlap FROM q a, q b WHERE a.question_type < b.question_type"
+)
+def answer_shape_drift(s, d):
+    v = t(s, d, "validation_batch").where(F.col("question_type").isin("EX", "FR", "MCQ")).select("question_type", fq.word_count(F.col("answer")).alias("w"))
+    q = v.groupBy("question_type").agg(F.percentile("w", F.lit(0.25)).alias("q1"), F.percentile("w", F.lit(0.75)).alias("q3"))  # three rows
+    a, b = q.toDF("type_a", "a1", "a3"), q.toDF("type_b", "b1", "b3")
+    return a.join(F.broadcast(b), F.col("type_a") < F.col("type_b")).select("type_a", "type_b", ((F.col("a1") <= F.col("b3")) & (F.col("b1") <= F.col("a3"))).alias("overlap"))
