@@ -63,11 +63,14 @@ SEED_TEXT = {
 }
 
 
+_ALNUM = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"\"[^\"]*\"")
 
 
 def plain(text: str) -> str:
+    if text.isascii():
+        return " ".join(text.split())
     t = unicodedata.normalize("NFKC", text)
     return " ".join(t.replace("’", "'").replace("“", '"').replace("”", '"').split())
 
@@ -96,27 +99,34 @@ class LanguageModel:
         table = np.array([[counts[k][g] for k in self.langs] for g in grams] + [[0] * len(self.langs)], float)
         self.table = np.log((table + 0.5) / total)
         self.index = {g: i for i, g in enumerate(grams)}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.seen = np.zeros((1024, len(self.langs)))
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "known": {}, "counts": {}}
-
-    def word(self, w: str) -> np.ndarray:
-        """Log likelihood of a word by language. The orders overlap, so their sum is averaged; and no word may speak
-        louder than ``CLIP`` nats, as names follow no language."""
-        got = self.known.get(w)
-        if got is None:
-            get, last = self.index.get, len(self.index)
-            s = self.table[[get(g, last) for g in char_grams(w).elements()]].sum(axis=0) / 3
-            got = np.maximum(s - s.max(), -CLIP)
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            self.known[w] = got
-        return got
+        return {**self.__dict__, "known": {}, "counts": {}, "seen": self.seen[:1024]}
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each word (rows) by language. The orders overlap, so their sum is averaged; and no word may
+        speak louder than ``CLIP`` nats, as names follow no language. Words are remembered."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        known = self.known
+        at = []
+        for w in words:
+            i = known.get(w)
+            if i is None:
+                i = known[w] = len(known)
+                if i >= len(self.seen):
+                    self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+                get, last = self.index.get, len(self.index)
+                v = self.table[[get(g, last) for g in char_grams(w).elements()]].sum(axis=0) / 3
+                self.seen[i] = np.maximum(v - v.max(), -CLIP)
+            at.append(i)
+        return self.seen[at] if at else np.zeros((0, len(self.langs)))
 
     def score(self, text: str) -> np.ndarray:
         """Log posterior by language up to a constant."""
-        return sum((self.word(w) for w in _LETTERS.findall(text.lower())), np.zeros(len(self.langs)))
+        return self.words(_LETTERS.findall(text.lower())).sum(axis=0)
 
 
 def fit_languages(
@@ -147,20 +157,36 @@ def fit_languages(
 def other_language(model: LanguageModel, question: str, reply: str, margin: float = MARGIN) -> bool:
     """True if a language other than the question's beats it by ``margin`` in the reply, on the evidence of at least
     ``LEAST_WORDS`` words. Names and numbers stay undecided; words in quotes and words of the question do not count."""
-    gap, words = language_gap(model, question, reply)
+    return speaks_otherwise(model, Prompt(model, question), reply, margin)
+
+
+def speaks_otherwise(model: LanguageModel, prompt: Prompt, reply: str, margin: float = MARGIN) -> bool:
+    """``other_language`` for a prompt already looked at."""
+    gap, words = language_gap(model, prompt, reply)
     return gap > margin and words >= LEAST_WORDS
 
 
-def language_gap(model: LanguageModel, question: str, reply: str) -> tuple[float, int]:
-    """Lead of the reply's best language over the question's, and how many words speak for it."""
-    asked = _LETTERS.findall(question.lower())
-    own = set(asked)
-    said = [w for w in _LETTERS.findall(_QUOTED.sub(" ", reply).lower()) if w not in own]
-    if not said:
+class Prompt:
+    """What the tests of all replies need of one prompt."""
+
+    def __init__(self, model: LanguageModel, question: str):
+        letters = _LETTERS.findall(question.lower())
+        self.letters = set(letters)
+        self.language = int(model.words(letters).sum(axis=0).argmax())
+        self.tokens = _tokens(question)
+        self.bag = set(self.tokens)
+
+
+def language_gap(model: LanguageModel, prompt: Prompt, reply: str) -> tuple[float, int]:
+    """Lead of the reply's best language over the prompt's, and how many words speak for it."""
+    if '"' in reply:
+        reply = _QUOTED.sub(" ", reply)
+    own = prompt.letters
+    each = model.words([w for w in _LETTERS.findall(reply.lower()) if w not in own])
+    if not len(each):
         return 0.0, 0
-    each = np.array([model.word(w) for w in said])
     r = each.sum(axis=0)
-    ask, best = int(model.score(question).argmax()), int(r.argmax())
+    ask, best = prompt.language, int(r.argmax())
     return float(r[best] - r[ask]), int((each[:, best] - each[:, ask] > 0.5).sum())
 
 
@@ -194,6 +220,12 @@ _REFUSAL = re.compile(
     ),
     re.I,
 )
+#: every refusal holds one of these
+_REFUSAL_CUES = (
+    "n't", "not", "unable", "declin", "refus", " no ", "no reply", "no answer", "no response", "no explanation", "no text", "nothing", "polic",
+    "guideline", "instruction", "rule", "safety", "outside", "against", "block", "consult", "never", "nicht", "ne peux", "ne suis", "regrette", "désolé",
+    "no puedo", "lo siento", "non posso", "mi dispiace",
+)
 _REFUSAL_ELSEWHERE = re.compile(
     r"\b(?:ich (?:kann|darf|möchte) (?:\w+ ){0,4}nicht|leider (?:kann|darf) ich|je ne (?:peux|suis) pas|je regrette|désolé|"
     r"no puedo (?:responder|ayudar|dar)|lo siento|non posso (?:rispondere|aiutare|fornire)|mi dispiace)\b",
@@ -203,7 +235,10 @@ _REFUSAL_ELSEWHERE = re.compile(
 
 def refuses(reply: str) -> bool:
     """The reply's own voice declines to reply; what others say in quotes does not count."""
-    t = _QUOTED.sub(" ", reply)
+    t = _QUOTED.sub(" ", reply) if '"' in reply else reply
+    low = t.lower()
+    if not any(cue in low for cue in _REFUSAL_CUES):
+        return False
     return bool(_REFUSAL.search(t) or _REFUSAL_ELSEWHERE.search(t))
 
 
@@ -211,25 +246,27 @@ _LEAD = re.compile(r"^\s*(?:(?:[^\W\d_]+[ ,]+){0,4}[^\W\d_]+\s*[:–-]|(?:sure|o
 
 
 def _tokens(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).casefold())
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _ALNUM.findall(text.casefold())
 
 
-def copies(question: str, reply: str) -> bool:
+def copies(question: str | Prompt, reply: str) -> bool:
     """The reply gives the question back, once or more, and nothing else: up to a lead-in with a colon, few words may
     be lost, added or mistyped (one in five)."""
-    q = _tokens(question)
+    q = _tokens(question) if isinstance(question, str) else question.tokens
+    bag = set(q) if isinstance(question, str) else question.bag
     n = len(q)
     if n < 3:
         return False
     for body in {reply, _LEAD.sub("", reply)}:
         r = _tokens(body)
         times = max(1, round(len(r) / n))
-        if not 0.8 * n * times <= len(r) <= 1.25 * n * times:
+        if not 0.8 * n * times <= len(r) <= 1.25 * n * times or sum(w in bag for w in r) < 0.5 * len(r):
             continue
         own = sum((Counter(r) & Counter({w: k * times for w, k in Counter(q).items()})).values())
         if own >= 0.8 * len(r) and own >= 0.8 * n * times:
             return True
-        if own >= 0.5 * len(r) and SequenceMatcher(None, " ".join(r), " ".join(q * times), autojunk=False).ratio() > 0.9:
+        if SequenceMatcher(None, " ".join(r), " ".join(q * times), autojunk=False).ratio() > 0.9:
             return True
     return False
 
@@ -409,18 +446,18 @@ def reply_defects(
             out = []
             for row in b.itertuples(index=False):
                 q = plain(row[1]) if isinstance(row[1], str) else ""
-                ask = not missing_py(q)
+                ask = Prompt(lm, q) if not missing_py(q) else None
                 for name, raw in zip(fields, row[2:]):
                     raw = raw if isinstance(raw, str) else None
                     if missing_py(raw):
                         out.append((row[0], name, "empty"))
                         continue
                     t = plain(raw)
-                    if ask and copies(q, t):
+                    if ask and copies(ask, t):
                         out.append((row[0], name, "copied_question"))
                     elif refuses(t):
                         out.append((row[0], name, "refusal"))
-                    elif ask and other_language(lm, q, t):
+                    elif ask and speaks_otherwise(lm, ask, t):
                         out.append((row[0], name, "other_language"))
                     elif truncated(em, name, t):
                         out.append((row[0], name, "truncated"))
