@@ -30,7 +30,7 @@ MARGIN = 1.5  # nats by which another language must win
 LEAST_WORDS = 3
 ADAPT_ROWS = 4_000
 CLIP = 2.0  # nats one word may add to a language's lead
-END_BELOW = 0.1
+END_BELOW = 0.05  # probability of an end under which a text counts as broken off
 ORDER = 4  # words in the longest context of a text end, the two marks before a text included
 
 #: Short prose that seeds each language, also where no labelled text exists.
@@ -276,6 +276,7 @@ def copies(question: str | Prompt, reply: str) -> bool:
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]|_")
 _CLOSERS = "\"'”’»)]}"
 _STOP = ".!?…。！？"
+_CLOSING = {".": 1.0, "!": 1.0, "?": 1.0, ";": 1.0, ",": 0.5}
 
 
 def tokens_of(text: str) -> list[str]:
@@ -308,7 +309,7 @@ class EndModel:
     """P(text or sentence ends | last words) of a field, interpolated from the last word over its place in the text to
     the last ``ORDER`` word classes."""
 
-    def __init__(self, words: set[str], common: set[str], contexts: dict[str, tuple[int, int]]):
+    def __init__(self, words: set[str], common: set[str], contexts: dict[str, tuple[int, float]]):
         self.words, self.common, self.contexts = words, common, contexts
         self.prefixes = {w[:i] for w in words for i in range(2, len(w))}
 
@@ -346,7 +347,7 @@ def word_class(words: set[str], token: str) -> str:
 def fit_ends(replies: DataFrame, field: str = "field", text: str = "text") -> EndModel:
     """Counted over all rows of ``replies`` (field, text). Words that are frequent and mostly written small keep their
     own class (at most ``MAX_WORDS``); contexts are pruned to the ``MAX_CONTEXTS`` most frequent. An end is a sentence
-    end inside a text or the end of a text. In a field where most texts close with a full stop, ends without one are
+    end inside a text or the end of a text; a closing clause counts too, a comma by half. In a field where most texts close with a full stop, ends without one are
     no evidence; elsewhere they are, unless a bracket is open or dots trail off."""
     spark = replies.sparkSession
 
@@ -391,16 +392,17 @@ def fit_ends(replies: DataFrame, field: str = "field", text: str = "text") -> En
                     last = i == len(k) - 1
                     if last and not trusted:
                         continue
-                    end = last or k[i + 1] in ".!?"
+                    # a clause that closes here might have been the last one
+                    end = 1.0 if last else _CLOSING.get(k[i + 1], 0.0)
                     for c in contexts_at(f, k, i):
                         seen[c] += 1
                         if end:
-                            ended[c] += 1
+                            ended[c] += end
         keys = list(seen)
         if keys:
-            yield pd.DataFrame({"c": keys, "seen": [seen[x] for x in keys], "ended": [ended[x] for x in keys]})
+            yield pd.DataFrame({"c": keys, "seen": [seen[x] for x in keys], "ended": [float(ended[x]) for x in keys]})
 
-    c = rows.mapInPandas(contexts, "c string, seen long, ended long")
+    c = rows.mapInPandas(contexts, "c string, seen long, ended double")
     c = c.groupBy("c").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     top = c.where("seen > 1").orderBy(F.desc("seen"), "c").limit(MAX_CONTEXTS).collect()
     return EndModel(known, common, {r.c: (r.seen, r.ended) for r in top})
