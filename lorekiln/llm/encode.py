@@ -131,14 +131,25 @@ def encode_texts(
     spark = documents.sparkSession
     with open(vocabulary, "rb") as f:
         ranks_file = f.read()
-    common = count_chunks(documents, text).where("n > 1").orderBy(F.desc("n"), "chunk").limit(lexicon_words)
+    work = Stages(spark, "lexicon")
+    counts = work.put(count_chunks(documents, text).where("n > 1"), "counts")
+    # sizes by powers of two tell from which count on about as many chunks are left as are wanted, so that no partition
+    # sends more than its share to the driver
+    power = F.floor(F.log2("n")).cast("int")
+    enough, least = 0, 1
+    for r in sorted(counts.groupBy(power.alias("b")).count().collect(), key=lambda r: -r.b):  # at most 64 rows
+        enough, least = enough + r["count"], 2**r.b
+        if enough >= lexicon_words:
+            break
+    common = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "chunk").limit(lexicon_words)
     merge = vocabulary_encoder(ranks_file)
     words = [" " + r.chunk for r in common.collect()]
+    work.drop(counts)
     lexicon = Transducer.build({w.encode(): merge(w) for w in words})
-    shared = Stages(spark, "lexicon").base
+    shared = work.base
     folder, tables = None, None
     if shared.startswith("file:"):
-        folder = "/" + shared.split(":", 1)[1].lstrip("/")
+        folder = "/" + shared.split(":", 1)[1].lstrip("/") + "/tables"
         lexicon.save(folder)
     else:  # a shared folder that cannot be memory-mapped: the tables travel, a few MB by lexicon_words
         tables = lexicon.tables()
