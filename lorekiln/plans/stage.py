@@ -49,3 +49,10 @@ class Stages:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table on at least as many partitions as tasks can run at once. Large tables come in enough splits and
+    stay as they are; a table in one small file is dealt out, as work on its texts costs far more than moving them."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
