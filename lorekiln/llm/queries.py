@@ -15,6 +15,7 @@ from lorekiln.llm.reply_defects import fit_ends, fit_languages, reply_defects
 from lorekiln.llm.reading import fit_scale, reading_levels
 from lorekiln.llm.shared_spans import shared_spans
 from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key
+from lorekiln.plans.stage import spread
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _t(spark, sf, "validation_batch").select("record_id", "question", "answer", "explanation")
+    pairs = spread(_t(spark, sf, "validation_batch").select("record_id", "question", "answer", "explanation"))
     languages = fit_languages(_t(spark, sf, "documents"), pairs)
     replies = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("answer", "explanation")]
     ends = fit_ends(pairs.select(F.explode(F.array(*replies)).alias("r")).select("r.*"))
@@ -63,22 +64,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return history_duplicates(_t(spark, sf, "staging_batch"))
+    rows = _t(spark, sf, "staging_batch").select("staging_id", "batch_no", "question", "source_quote")
+    return history_duplicates(spread(rows))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode_texts(_t(spark, sf, "documents"))
+    return encode_texts(spread(_t(spark, sf, "documents").select("doc_id", "text")))
 
 
 def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = encode_texts(_t(spark, sf, "documents"), sizes_only=True)
+    sizes = encode_texts(spread(_t(spark, sf, "documents").select("doc_id", "text")), sizes_only=True)
     return pack_documents(sizes, _t(spark, sf, "prompt_windows"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     story = (F.col("lang") == "en") & F.col("doc_kind").isin("chapter", "recap")
     scale = fit_scale(_t(spark, sf, "reading_passages"))
-    return reading_levels(_t(spark, sf, "documents"), scale, where=story).select("doc_id", "reading_level")
+    texts = _t(spark, sf, "documents").where(story).select("doc_id", "text")
+    return reading_levels(spread(texts), scale).select("doc_id", "reading_level")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -78,14 +78,18 @@ def plain(text: str) -> str:
 # ---------------------------------------------------------------- language
 
 
-def char_grams(text: str) -> Counter:
-    """Character 2- to 4-grams of the lower-case words of a text, a word's ends marked by a space."""
+def words_in(text: str) -> list[str]:
+    return _LETTERS.findall(text.lower())
+
+
+def char_grams(words: dict[str, int]) -> Counter:
+    """Character 2- to 4-grams of counted words, a word's ends marked by a space."""
     out: Counter = Counter()
-    for w in _LETTERS.findall(text.lower()):
-        w = f" {w} "
+    for word, times in words.items():
+        w = f" {word} "
         for n in (2, 3, 4):
             for i in range(len(w) - n + 1):
-                out[w[i : i + n]] += 1
+                out[w[i : i + n]] += times
     return out
 
 
@@ -119,7 +123,7 @@ class LanguageModel:
                 if i >= len(self.seen):
                     self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
                 get, last = self.index.get, len(self.index)
-                v = self.table[[get(g, last) for g in char_grams(w).elements()]].sum(axis=0) / 3
+                v = self.table[[get(g, last) for g in char_grams({w: 1}).elements()]].sum(axis=0) / 3
                 self.seen[i] = np.maximum(v - v.max(), -CLIP)
             at.append(i)
         return self.seen[at] if at else np.zeros((0, len(self.langs)))
@@ -135,22 +139,24 @@ def fit_languages(
     """Fit on seeds and at most ``TRAIN_PER_LANGUAGE`` labelled texts a language, the ones of smallest hash; then once
     more with at most ``ADAPT_ROWS`` prompts of ``pairs`` that the first model assigns without doubt, so that a
     language without labelled texts is learnt in the wording of the pairs."""
-    counts = {k: char_grams(SEED_TEXT[k]) for k in LANGUAGES}
+    words = {k: Counter(words_in(SEED_TEXT[k])) for k in LANGUAGES}
     usable = documents.where(F.lower(lang).isin(*LANGUAGES) & (F.length(text) > 40))
     usable = usable.select(F.lower(lang).alias("k"), F.substring(text, 1, TRAIN_CHARS).alias("t"))
     bucket = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t"))
     for r in usable.withColumn("n", bucket).where(F.col("n") <= TRAIN_PER_LANGUAGE).collect():
-        counts[r.k].update(char_grams(plain(r.t)))
-    model = LanguageModel(counts)
+        words[r.k].update(words_in(plain(r.t)))
+    model = LanguageModel({k: char_grams(w) for k, w in words.items()})
     if pairs is not None:
-        more = {k: Counter() for k in LANGUAGES}
+        more: dict[str, list[str]] = {k: [] for k in LANGUAGES}
         asked = pairs.where(F.length(question) > 20).select(F.substring(question, 1, TRAIN_CHARS).alias("t"))
         for r in asked.orderBy(F.xxhash64("t"), "t").limit(ADAPT_ROWS).collect():
             s = model.score(plain(r.t))
             first, second = np.sort(s)[::-1][:2]
             if first - second > 4 * MARGIN:
-                more[model.langs[int(s.argmax())]].update(char_grams(plain(r.t)))
-        model = LanguageModel({k: counts[k] + more[k] for k in LANGUAGES})
+                more[model.langs[int(s.argmax())]].extend(words_in(plain(r.t)))
+        for k, w in more.items():
+            words[k].update(w)
+        model = LanguageModel({k: char_grams(w) for k, w in words.items()})
     return model
 
 
