@@ -60,6 +60,14 @@ def leaves(payload: str | None) -> list[tuple[str, str, str, int]]:
     return out
 
 
+def is_record(payload: str | None) -> bool:
+    """Whether a payload can be read and is an object."""
+    try:
+        return isinstance(json.loads(payload, parse_constant=_reject) if payload else None, dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def name_parts(path: str) -> list[str]:
     """Lower-case parts of a path's names, plural and numbers aside; short ids ("qid") give up their "id"."""
     out = []
@@ -146,6 +154,27 @@ def match_renames(removed: list[dict], added: list[dict]) -> list[tuple[dict, di
     return out
 
 
+def with_parts(prof: DataFrame) -> DataFrame:
+    """``schema_profile`` with the weighted parts of each name: the fewer fields of one file share a part, the more it
+    tells."""
+    split = F.udf(name_parts, "array<string>")
+    paths = prof.select("path").distinct().withColumn("parts", split("path"))
+    prose = F.when(F.col("chars") >= LONG, 1).when(F.col("chars") <= SHORT, -1).otherwise(0)
+    used = prof.select("file", "path", prose.alias("prose")).join(paths, "path").select("file", "prose", F.explode("parts").alias("part"))
+    weight = used.groupBy("file", "prose", "part").count().groupBy("prose", "part").agg(
+        (1 / F.avg("count")).alias("w"), (F.avg((F.col("count") > 1).cast("double")) <= SPECIFIC).alias("own")
+    )
+    named = prof.select("path", prose.alias("prose")).distinct().join(paths, "path")
+    named = named.select("path", "prose", F.explode("parts").alias("part")).join(weight, ["prose", "part"])
+    named = named.groupBy("path", "prose").agg(F.collect_list(F.struct("part", "w", "own")).alias("parts"))
+    return prof.withColumn("prose", prose).join(named, ["path", "prose"], "left").drop("prose")
+
+
+def _with_weights(x: dict, path: str) -> dict:
+    parts = x["parts"] if x["parts"] is not None else []
+    return x | {"path": path, "parts": {p["part"]: p["w"] for p in parts}, "own": {p["part"] for p in parts if p["own"]}}
+
+
 def schema_changes(
     records: DataFrame, file_id: str = "file_id", series: str = "series", seq: str = "file_seq", payload: str = "payload"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,18 +197,7 @@ def schema_changes(
     files = with_previous(listed.join(prints, "file", "left"), ["series"], ["seq", "file"], "file", "prev")
     files = work.put(files, "files")
 
-    # weights of name parts: the fewer fields of one file share a part, the more it tells
-    split = F.udf(name_parts, "array<string>")
-    paths = prof.select("path").distinct().withColumn("parts", split("path"))
-    prose = F.when(F.col("chars") >= LONG, 1).when(F.col("chars") <= SHORT, -1).otherwise(0)
-    used = prof.select("file", "path", prose.alias("prose")).join(paths, "path").select("file", "prose", F.explode("parts").alias("part"))
-    weight = used.groupBy("file", "prose", "part").count().groupBy("prose", "part").agg(
-        (1 / F.avg("count")).alias("w"), (F.avg((F.col("count") > 1).cast("double")) <= SPECIFIC).alias("own")
-    )
-    named = prof.select("path", prose.alias("prose")).distinct().join(paths, "path")
-    named = named.select("path", "prose", F.explode("parts").alias("part")).join(weight, ["prose", "part"])
-    named = named.groupBy("path", "prose").agg(F.collect_list(F.struct("part", "w", "own")).alias("parts"))
-    rich = work.put(prof.withColumn("prose", prose).join(named, ["path", "prose"], "left").drop("prose"), "named")
+    rich = work.put(with_parts(prof), "named")
 
     side = ["json_type", "n", "chars", "distinct_share", "parts"]
     later = files.where("prev is not null")
@@ -194,8 +212,7 @@ def schema_changes(
         fields: list[list[dict]] = [[], []]
         for path, old, new in zip(pdf["path"], pdf["old"], pdf["new"]):
             x = dict(old if new is None else new)
-            parts = x["parts"] if x["parts"] is not None else []
-            x |= {"path": path, "parts": {p["part"]: p["w"] for p in parts}, "own": {p["part"] for p in parts if p["own"]}}
+            x = _with_weights(x, path)
             fields[new is not None].append(x)
         pairs = match_renames(*fields)
         out = []
@@ -243,27 +260,168 @@ def field_lineage(changes: DataFrame, schemas: DataFrame, files: DataFrame, file
             return ptr.select("file", "path", F.coalesce("to.path", "path").alias("field"))
 
 
-def unify_records(
-    records: DataFrame, lineage: DataFrame, files: DataFrame, file_id: str = "file_id", line: str = "line_no", payload: str = "payload"
-) -> DataFrame:
-    """One consistent table of all readable records: (``file_id``, series, seq, ``line``, fingerprint, fields).
-
-    ``fields`` maps every field of the file's schema, by its lineage name, to its JSON text; what a record lacks is
-    null. Lines delivered twice appear once (the smaller payload, if they differ).
-    """
+def common_fields(series: list[list[dict]]) -> list[dict[str, str]]:
+    """One map {field: common name} a series. Fields of a series (dicts as for ``likeness``) meet the fields known from
+    the series before it, first by a name known there, then as renames; a field without counterpart is a new one. The
+    common name is the one most values have."""
+    known: list[dict] = []
+    at: list[dict[str, int]] = []
+    for fields in series:
+        mine: dict[str, int] = {}
+        for f in fields:
+            same = [k for k, x in enumerate(known) if f["path"] in x["names"] and k not in mine.values()]
+            if same:
+                mine[f["path"]] = max(same, key=lambda k: (known[k]["names"][f["path"]], -k))
+        free = {x["fields"][0]["path"]: k for k, x in enumerate(known) if k not in mine.values()}
+        for old, new in match_renames([known[k]["fields"][0] for k in free.values()], [f for f in fields if f["path"] not in mine]):
+            mine[new["path"]] = free[old["path"]]
+        for f in fields:
+            if f["path"] not in mine:
+                mine[f["path"]] = len(known)
+                known.append({"fields": [f], "names": {}})
+            names = known[mine[f["path"]]]["names"]
+            names[f["path"]] = names.get(f["path"], 0) + f["n"]
+        at.append(mine)
+    taken: list[str] = []
+    for k, x in enumerate(known):
+        order = sorted(x["names"], key=lambda p: (-x["names"][p], p))
+        taken.append(next((p for p in order if p not in taken), f"{order[0]}#{k}"))
+    return [{p: taken[k] for p, k in mine.items()} for mine in at]
+
+
+TYPES = ("boolean", "number", "string", "array")
+_TRUE = {"true": "true", "yes": "true", "1": "true", "false": "false", "no": "false", "0": "false"}
+
+
+def _casts(kind: str, value: str) -> tuple[bool, bool]:
+    """Whether a JSON text of a type reads as boolean and as number without loss."""
+    text = json.loads(value) if kind == "string" else value
+    as_number = kind in ("boolean", "number")
+    if kind == "string":
+        try:
+            as_number = json.dumps(json.loads(text, parse_constant=_reject)) == text and text not in ("null", "true", "false")
+            as_number = as_number and text[:1] not in "[{\""
+        except (ValueError, RecursionError):
+            pass
+    return kind != "array" and text.lower() in _TRUE, as_number
+
+
+def cast_json(kind: str, value: str, target: str | None) -> str:
+    """A JSON text of type ``kind`` as one of type ``target``, which ``migration_steps`` chose so that it fits."""
+    if kind == target or target not in TYPES or kind == "":
+        return value
+    if target == "array":
+        return f"[{value}]"
+    text = json.loads(value) if kind == "string" else value
+    if target == "boolean":
+        return _TRUE[text.lower()]
+    if target == "number":
+        return {"true": "1", "false": "0"}.get(text, text)
+    return json.dumps(text, ensure_ascii=False)
+
+
+def _once(records: DataFrame, file_id: str, line: str, payload: str) -> DataFrame:
+    """(f, n, d): one readable copy of each line, the smallest."""
+
+    @F.pandas_udf("boolean")
+    def readable(docs: pd.Series) -> pd.Series:
+        return docs.map(is_record)
+
+    r = records.where(F.col(file_id).isNotNull() & F.col(line).isNotNull() & F.col(payload).isNotNull())
+    r = r.select(F.col(file_id).alias("f"), F.col(line).alias("n"), F.col(payload).alias("d")).distinct()
+    return r.where(readable("d")).groupBy("f", "n").agg(F.min("d").alias("d"))
+
+
+def _flat(once: DataFrame) -> DataFrame:
+    """(file, line, path, kind, value, boolean, number) of every non-object value."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, n, p, v) for f, n, doc in zip(b["f"], b["n"], b["d"]) for p, _, v, _ in leaves(doc)]
+            rows = [(f, n, p, t, v, *_casts(t, v)) for f, n, doc in zip(b["f"], b["n"], b["d"]) for p, t, v, _ in leaves(doc)]
             if rows:
-                yield pd.DataFrame(rows, columns=["file", "line", "path", "value"])
-
-    ids, no = (records.schema[c].dataType.simpleString() for c in (file_id, line))
-    once = records.where(F.col(file_id).isNotNull() & F.col(line).isNotNull()).groupBy(file_id, line).agg(F.min(payload).alias("d"))
-    src = once.select(F.col(file_id).alias("f"), F.col(line).alias("n"), "d")
-    flat = src.mapInPandas(flatten, f"file {ids}, line {no}, path string, value string")
-    named = flat.join(lineage, ["file", "path"])
-    rows = named.groupBy("file", "line", "field").agg(F.max(F.when(F.col("value") != "null", F.col("value"))).alias("value"))
-    rows = rows.groupBy("file", "line").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+                yield pd.DataFrame(rows, columns=["file", "line", "path", "kind", "value", "boolean", "number"])
+
+    ids, no = (once.schema[c].dataType.simpleString() for c in "fn")
+    return once.mapInPandas(flatten, f"file {ids}, line {no}, path string, kind string, value string, boolean boolean, number boolean")
+
+
+def migration_steps(
+    records: DataFrame, lineage: DataFrame, schemas: DataFrame, files: DataFrame, file_id: str = "file_id", line: str = "line_no", payload: str = "payload"
+) -> DataFrame:
+    """(file, fingerprint, path, name, step, old_type, new_type): what each file's schema needs to become the common
+    one. 'rename' to the common name, 'cast' to the field's one type, 'default' (path '') for a field it lacks, which
+    is null; 'keep' where neither is needed. A field that needs a rename and a cast has both.
+
+    Root names of all series are matched on the driver (as many as series have fields). A field's type is boolean or
+    number if it has such values and all others read as one without loss, array if any value is one (others become
+    arrays of one), else string.
+    """
+    work = Stages(schemas.sparkSession, "steps")
+    rich = with_parts(schemas).join(lineage, ["file", "path"]).join(files.select("file", "series"), "file")
+    weight = F.greatest("n", F.lit(1))
+    roots = rich.where("path = field").groupBy("series", "field").agg(
+        F.max_by("parts", "n").alias("parts"), F.sum("n").alias("n"), F.avg("distinct_share").alias("distinct_share"),
+        (F.sum(F.col("chars") * weight) / F.sum(F.when(F.col("chars").isNotNull(), weight))).alias("chars"),
+    )
+    by_series: dict[str | None, list[dict]] = {}
+    for r in sorted(roots.collect(), key=lambda r: (r.series is not None, r.series or "", r.field)):
+        x = r.asDict()
+        x["distinct_share"] = 0.5 if x["distinct_share"] is None else x["distinct_share"]
+        by_series.setdefault(r.series, []).append(_with_weights(x, r.field))
+    # the series with most fields first, so that the others meet it
+    order = sorted(by_series, key=lambda k: (-len(by_series[k]), k is not None, k or ""))
+    names = [(k, f, n) for k, m in zip(order, common_fields([by_series[k] for k in order])) for f, n in m.items()]
+    common = schemas.sparkSession.createDataFrame(names, "of string, root string, name string")
+    same = F.col("series").eqNullSafe(F.col("of")) & (F.col("field") == F.col("root"))
+    at = rich.join(F.broadcast(common), same).select("file", "path", "name", "json_type")
+    at = work.put(at, "names")
+    values = _flat(_once(records, file_id, line, payload)).where("kind <> ''").join(at.select("file", "path", "name"), ["file", "path"])
+    seen = values.groupBy("name").agg(
+        F.bool_and("boolean").alias("b"), F.bool_and("number").alias("d"), *[F.bool_or(F.col("kind") == k).alias(k) for k in TYPES]
+    )
+    target = F.when(F.col("array"), "array").when(F.col("boolean") & F.col("b"), "boolean").when(F.col("number") & F.col("d"), "number")
+    types = seen.select("name", target.otherwise("string").alias("new_type"))
+    types = work.put(at.select("name").distinct().join(types, "name", "left").select("name", F.coalesce("new_type", F.lit("string")).alias("new_type")), "types")
+    need = at.join(types, "name")
+    rename = F.when(F.col("path") != F.col("name"), F.lit("rename"))
+    cast = F.when((F.col("json_type") != "") & (F.col("json_type") != F.col("new_type")), F.lit("cast"))
+    found = F.array_compact(F.array(rename, cast))
+    need = need.withColumn("step", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("keep")))))
+    cols = ["file", "path", "name", "step", F.col("json_type").alias("old_type"), "new_type"]
+    lacks = files.select("file").crossJoin(F.broadcast(types)).join(at.select("file", "name"), ["file", "name"], "left_anti")
+    lacks = lacks.select("file", F.lit("").alias("path"), "name", F.lit("default").alias("step"), F.lit("").alias("old_type"), "new_type")
+    return work.put(need.select(*cols).unionByName(lacks).join(files.select("file", "fingerprint"), "file"), "steps")
+
+
+def unify_records(
+    records: DataFrame, lineage: DataFrame, files: DataFrame, file_id: str = "file_id", line: str = "line_no", payload: str = "payload",
+    steps: DataFrame | None = None,
+) -> DataFrame:
+    """One consistent table of all readable records: (``file_id``, series, seq, ``line``, fingerprint, fields).
+
+    With ``steps`` (of ``migration_steps``) ``fields`` maps every common field to its JSON text in the field's one
+    type, null where the record or its file has none. Without, it maps the fields a record has, by lineage name, to
+    their JSON text as it stands. Lines delivered twice appear once (the smallest readable payload, if they differ).
+    """
+    once = _once(records, file_id, line, payload)
+    if steps is None:
+        rules = lineage.select("file", "path", F.col("field").alias("name"), F.lit(None).cast("string").alias("new_type"))
+    else:
+        rules = steps.where("path <> ''").select("file", "path", "name", "new_type").distinct()
+
+    @F.pandas_udf("string")
+    def cast(kind: pd.Series, value: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([cast_json(k, v, x) for k, v, x in zip(kind, value, target)], dtype=object)
+
+    named = _flat(once).join(rules, ["file", "path"])
+    if steps is not None:
+        named = named.withColumn("value", cast("kind", "value", "new_type"))
+    rows = named.groupBy("file", "line", "name").agg(F.max(F.when(F.col("kind") != "", F.col("value"))).alias("value"))
+    rows = rows.groupBy("file", "line").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
+    rows = once.select(F.col("f").alias("file"), F.col("n").alias("line")).join(rows, ["file", "line"], "left")
+    if steps is not None:
+        every = steps.agg(F.sort_array(F.collect_set("name")).alias("names"))
+        filled = F.map_from_arrays("names", F.transform("names", lambda n: F.col("fields")[n]))
+        rows = rows.crossJoin(F.broadcast(every)).select("file", "line", filled.alias("fields"))
     out = rows.join(files.select("file", "series", "seq", "fingerprint"), "file")
     return out.select(F.col("file").alias(file_id), "series", "seq", F.col("line").alias(line), "fingerprint", "fields")

@@ -1,6 +1,8 @@
 import json
 
-from lorekiln.operators.schema_drift import field_lineage, leaves, name_parts, schema_changes, unify_records
+from pyspark.sql import functions as F
+
+from lorekiln.operators.schema_drift import cast_json, field_lineage, leaves, migration_steps, name_parts, schema_changes, unify_records
 from lorekiln.plans.order import with_previous
 
 SHAPE = "file_id long, series string, file_seq int, line_no int, payload string, path string, n int"
@@ -71,3 +73,30 @@ def test_previous_within_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, n int").repartition(6)
     got = {(r.g, r.n): r.back for r in with_previous(df, ["g"], ["n"], "n", "back").collect()}
     assert got == {(g, n): (n - 1 if (g, n) not in {("a", 0), ("b", 7), (None, 1)} else None) for g, n in rows}
+
+
+def test_steps_give_one_name_and_type_a_field_and_nulls(spark):
+    more = FILES + [(7, "far", 1, records(12, lambda i: {"tempQid": f"SYN_{i}", "flags": {"source_quote_failed": str(i % 2 == 0).lower()}, "severity": "high"}) + ["{}"])]
+    df = table(spark, more)
+    df = df.unionByName(df.where("file_id = 7 and line_no = 3").withColumn("payload", F.lit("!broken")))
+    changes, schemas, files = schema_changes(df)
+    lineage = field_lineage(changes, schemas, files)
+    steps = migration_steps(df, lineage, schemas, files).collect()
+    done = {(r.file, r.path, r.step): r for r in steps}
+    assert done[(3, "tempQid", "rename")].name == "temp_qid" and done[(3, "tempQid", "cast")].new_type == "string"
+    assert done[(7, "tempQid", "rename")].name == "temp_qid" and (1, "temp_qid", "keep") in done
+    assert {r.name for r in steps if r.file == 1 and r.step == "default"} == {"a", "severity"}
+    rows = unify_records(df, lineage, files, steps=migration_steps(df, lineage, schemas, files)).collect()
+    assert len(rows) == 12 * 5 + 4 and len({tuple(sorted(r.fields)) for r in rows}) == 1
+    at = {(r.file_id, r.line_no): r.fields for r in rows}
+    assert at[(4, 3)]["temp_qid"] == '"3"' and at[(1, 3)]["temp_qid"] == '"SYN_3"' and at[(7, 3)]["temp_qid"] == '"SYN_3"'
+    assert set(at[(7, 12)].values()) == {None}
+    quote = next(r.name for r in steps if r.file == 1 and r.path == "flags.quote_failed")
+    assert [at[(f, 3)][quote] for f in (1, 2, 3, 4, 7)] == ["false", "false", "true", "true", "false"]
+    assert at[(4, 3)]["severity"] == '"1"' and at[(4, 3)]["note"] == '["x"]' and at[(2, 3)]["note"] == '["x"]'
+
+
+def test_casts():
+    assert cast_json("boolean", "true", "number") == "1" and cast_json("string", '"3"', "number") == "3"
+    assert cast_json("number", "3", "string") == '"3"' and cast_json("number", "3", "array") == "[3]"
+    assert cast_json("string", '"Yes"', "boolean") == "true" and cast_json("", "null", "array") == "null"
