@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -221,6 +223,84 @@ def collision_risk(s, d):
     return _near_pairs(s, d).groupBy("label").agg(F.round(F.max("cos"), 6).alias("collision"))
 
 
+TILE = 1024  # vectors a side of a tile
+
+
+def _label_tiles(s, d, compare, shape: str):
+    """``compare`` over every two chunks of a label: a frame of two chunks (``chunk`` i and j, i <= j) a task."""
+    e = t(s, d, "embeddings").where("label is not null and vec_id is not null").select("label", "vec_id", "embedding")
+    m = e.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m"))
+    e = e.join(m, "label").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    e = e.select("label", "vec_id", "embedding", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return e.groupBy("label", "i", "j").applyInPandas(compare, shape)
+
+
+def _cosines(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both sides and their cosines, NaN where a norm is zero and between a vector and itself."""
+    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    first = (pdf["chunk"] == pdf["i"]).to_numpy()
+    x, y = pdf[first], pdf if one else pdf[~first]
+    if not len(x) or not len(y):
+        return x["vec_id"].to_numpy(), y["vec_id"].to_numpy(), np.zeros((len(x), len(y)))
+    p, q = (np.stack([np.asarray(v, np.float64) for v in side["embedding"]]) for side in (x, y))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (p, q))
+        cos = p @ q.T
+    if one:
+        np.fill_diagonal(cos, np.nan)
+    return x["vec_id"].to_numpy(), y["vec_id"].to_numpy(), cos
+
+
+def _all_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    a, b, cos = _cosines(pdf)
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        p, q = np.nonzero(a[:, None] < b[None, :])
+    else:
+        p, q = (k.ravel() for k in np.indices(cos.shape))
+    return pd.DataFrame({"id_a": np.minimum(a[p], b[q]), "id_b": np.maximum(a[p], b[q]), "cos": cos[p, q]})
+
+
+def _best_two(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The two largest cosines of each vector of the tile with the other side's; -2 for none."""
+    a, b, cos = _cosines(pdf)
+    cos = np.where(np.isnan(cos), -2.0, cos)
+    out = []
+    for ids, c in ((a, cos), (b, cos.T))[: 1 if pdf["i"].iloc[0] == pdf["j"].iloc[0] else 2]:
+        c = np.sort(np.pad(c, ((0, 0), (0, 2)), constant_values=-2.0), axis=1)
+        out.append(pd.DataFrame({"label": pdf["label"].iloc[0], "id_a": ids, "first": c[:, -1], "second": c[:, -2]}))
+    return pd.concat(out)
+
+
+def _top_two(s, d):
+    """(label, id_a, best, margin): each vector's largest cosine with any other of its label, and what the second lacks."""
+    each = _label_tiles(s, d, _best_two, "label int, id_a long, first double, second double")
+    x = F.filter(F.flatten(F.collect_list(F.array("first", "second"))), lambda v: v > -2)
+    top = each.groupBy("label", "id_a").agg(F.sort_array(x, asc=False).alias("c"))
+    return top.select("label", "id_a", F.get("c", F.lit(0)).alias("best"), (F.get("c", F.lit(0)) - F.get("c", F.lit(1))).alias("margin"))
+
+
+@query()
+def pairwise_cosine_all(s, d):
+    pairs = _label_tiles(s, d, _all_pairs, "id_a long, id_b long, cos double")
+    return pairs.select("id_a", "id_b", F.round(F.nanvl("cos", F.lit(None).cast("double")), 6).alias("cos"))
+
+
+@query()
+def best_variation_score_all(s, d):
+    return _top_two(s, d).select("id_a", F.round(F.greatest("best", F.lit(0.0)), 6).alias("best"))
+
+
+@query()
+def distractor_margin_all(s, d):
+    return _top_two(s, d).select("id_a", F.round("margin", 6).alias("margin"))
+
+
+@query()
+def collision_risk_all(s, d):
+    return _top_two(s, d).groupBy("label").agg(F.round(F.max("best"), 6).alias("collision"))
+
+
 @query("SELECT vec_id, round(exp(x) / (exp(x) + exp(y) + exp(z)), 6) AS p_entail FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)")
 def nli_entailment(s, d):
     e = [F.exp(F.get("embedding", F.lit(i)).cast("double")) for i in range(3)]
