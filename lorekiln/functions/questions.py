@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Keyword sets, phrases and names of the question classifiers.
 PRIORITY_1 = ("what", "name", "who", "where", "when", "which", "how", "why")
@@ -32,6 +34,9 @@ NUMBER_WORDS = (
 )
 
 
+_NO_PUNCTUATION = str.maketrans("", "", string.punctuation)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case ASCII words and numbers in order; null gives an empty list."""
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1), F.array().cast("array<string>"))
@@ -52,6 +57,19 @@ def clean_input(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", ""))
 
 
+@F.pandas_udf(StringType())
+def normalize_text(c: pd.Series) -> pd.Series:
+    """NFKC, ends stripped of any white space, lower case; null and '' give null, white space alone gives ''."""
+    return c.map(lambda x: unicodedata.normalize("NFKC", x).strip().lower() if x else None)
+
+
+@F.pandas_udf(StringType())
+def clean_input_text(c: pd.Series) -> pd.Series:
+    """``clean_input`` for any characters: lower case without ASCII punctuation, ends stripped of any white space; null
+    gives ''."""
+    return c.map(lambda x: x.lower().translate(_NO_PUNCTUATION).strip() if x else "")
+
+
 def standardize_option(c: Column) -> Column:
     """An answer option in lower case, without one closing mark and a leading conjunction."""
     t = F.regexp_replace(F.trim(F.lower(c)), '[?."]$', "")

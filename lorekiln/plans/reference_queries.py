@@ -735,6 +735,11 @@ def clean_input_string(s, d):
     return v.select("record_id", fq.clean_input(F.col("answer")).alias("text"))
 
 
+@query()
+def clean_input_string_all(s, d):
+    return t(s, d, "validation_batch").select("record_id", fq.clean_input_text("answer").alias("text"))
+
+
 @query(
     "SELECT record_id, o AS option, trim(regexp_replace(regexp_replace(trim(lower(o), ' '), '[?.\"]$', ''), '^(or|and) ', ''), ' ') AS standard FROM (SELECT record_id, unnest(mcq_options) AS o FROM validation_batch)"
 )

@@ -107,6 +107,11 @@ def normalize_value(s, d):
     return t(s, d, "validation_batch").where(a.isNull() | a.rlike("^[ -~]*$")).select("record_id", F.lower(F.trim(a)).alias("answer"))
 
 
+@query()
+def normalize_value_all(s, d):
+    return t(s, d, "validation_batch").select("record_id", fq.normalize_text("answer").alias("answer"))
+
+
 @query(
     "SELECT record_id, regexp_extract(question, '^([^?:]*)[?:]', 1) AS stem, regexp_extract(question, '^[^?:]*[?:](.*)$', 1) AS rest FROM validation_batch WHERE regexp_matches(question, '^[^?:\\n]*[?:][^\\n]*$')"
 )
