@@ -157,6 +157,16 @@ def extract_json_fallback(s, d):
     return r.select("file_id", "line_no", F.coalesce(F.get_json_object("payload", "$.temp_qid"), found).alias("temp_qid"))
 
 
+@query()
+def extract_json_fallback_all(s, d):
+    r = t(s, d, "judge_raw")
+    # a number counts only if something follows it: it may be cut off
+    rule = r'"temp_qid"\s*:\s*(?:"([^"]*)"|(-?[0-9]+)\s*[,}])'
+    found = F.coalesce(*[F.nullif(F.regexp_extract("payload", rule, k), F.lit("")) for k in (1, 2)])
+    parsed = F.when(F.expr("try_parse_json(payload) is not null"), F.get_json_object("payload", "$.temp_qid"))
+    return r.select("file_id", "line_no", F.coalesce(parsed, found).alias("temp_qid"))
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'blocked' WHEN value < 10 THEN 'empty' ELSE 'ok' END AS gate FROM events")
 def finish_reason_gate(s, d):
     reason = F.when(F.col("event_type") == "error", "SAFETY").otherwise("STOP")
