@@ -6,8 +6,10 @@ A vertex then sees one offer from each cell of its row and column: it takes the
 are joined to that parent by new edges. Rounds repeat on these new edges, which only join representatives, until no
 offers differ. Parents of all rounds are composed from the last, smallest round back to the first.
 
-Hot vertices: a cell that holds more than ``cell_edges`` edges is cut into sub-cells by a hash of the edge, so a
-hub's edges are spread over many tasks; only offers, one per sub-cell at most, meet again at the hub.
+The number of blocks follows from the number of edges, at every size. Hot vertices: a cell that holds more than twice
+its share of edges is cut into sub-cells by a hash of the edge, so a hub's edges are spread over many tasks; only
+offers, one per sub-cell at most, meet again at the hub. When parents are composed, representatives that more than a
+thousandth of all vertices share travel apart, at most a thousand rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.plans.stage import Stages
 
-MAX_BLOCKS = 64
+HOT = 1000  # a representative of more than one in so many vertices is hot
 
 
 def local_offers(src: pd.Series, dst: pd.Series) -> pd.DataFrame:
@@ -64,17 +66,15 @@ def grid_components(edges: DataFrame, src: str, dst: str, cell_edges: int = 50_0
 
     n = e.count()
     while n:
-        b = min(MAX_BLOCKS, max(1, math.ceil(math.sqrt(2 * n / cell_edges))))
-        if b == 1 and n <= cell_edges:
-            cells = e.select("u", "v", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("sub"))
-        else:
-            p, q = (F.pmod(F.xxhash64(c), F.lit(b)).cast("int") for c in "uv")
-            cells = e.select("u", "v", F.least(p, q).alias("row"), F.greatest(p, q).alias("col"))
-            size = cells.groupBy("row", "col").count()  # at most MAX_BLOCKS² rows
-            split = size.select("row", "col", F.ceil(F.col("count") / cell_edges).cast("int").alias("k"))
-            cells = cells.join(F.broadcast(split), ["row", "col"]).select(
-                "u", "v", "row", "col", F.pmod(F.hash("u", "v"), F.col("k")).alias("sub")
-            )
+        # b * (b + 1) / 2 cells of about cell_edges each; two blocks at least, but for what is left in later rounds
+        b = max(1 if parents else 2, math.ceil(math.sqrt(2 * n / cell_edges)) if n > cell_edges else 1)
+        p, q = (F.pmod(F.xxhash64(c), F.lit(b)).cast("int") for c in "uv")
+        cells = e.select("u", "v", F.least(p, q).alias("row"), F.greatest(p, q).alias("col"))
+        size = cells.groupBy("row", "col").count().where(F.col("count") > 2 * cell_edges)
+        split = size.select("row", "col", F.ceil(F.col("count") / cell_edges).cast("int").alias("k"))
+        cells = cells.join(split, ["row", "col"], "left").select(
+            "u", "v", "row", "col", F.pmod(F.hash("u", "v"), F.coalesce("k", F.lit(1))).alias("sub")
+        )
         seen = cells.groupBy("row", "col", "sub").applyInPandas(offers, f"x {kind}, rep {kind}")
         seen = seen.groupBy("x").agg(F.collect_set("rep").alias("reps"))  # one offer a sub-cell at most
         seen = work.put(seen.select("x", F.array_min("reps").alias("p"), "reps"), "offers")
@@ -86,11 +86,21 @@ def grid_components(edges: DataFrame, src: str, dst: str, cell_edges: int = 50_0
 
     if not parents:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("label")).limit(0)
-    labels = parents[-1].select(F.col("x").alias("vertex"), F.col("p").alias("label"))
+    labels, was = parents[-1].select(F.col("x").alias("vertex"), F.col("p").alias("label")), None
     for up in reversed(parents[:-1]):
         low = labels.select(F.col("vertex").alias("p"), F.col("label").alias("top"))
-        joined = up.select("x", "p").join(low, "p", "left")
-        labels = joined.select(F.col("x").alias("vertex"), F.coalesce("top", "p").alias("label"))
-    labels = work.put(labels, "labels")
+        hot = up.groupBy("p").count().where(F.col("count") * HOT > up.count()).select("p")  # fewer than HOT rows
+        # without a row in low, a representative is a root
+        known = hot.join(low, "p", "left").select("p", F.coalesce("top", "p").alias("hot_top"))
+        marked = up.select("x", "p").join(F.broadcast(known), "p", "left")
+        joined = marked.where("hot_top is null").join(low, "p", "left")
+        labels = joined.select(F.col("x").alias("vertex"), F.coalesce("top", "p").alias("label")).unionByName(
+            marked.where("hot_top is not null").select(F.col("x").alias("vertex"), F.col("hot_top").alias("label"))
+        )
+        labels = work.put(labels, "labels")
+        work.drop(was)
+        was = labels
+    if was is None:
+        labels = work.put(labels, "labels")
     work.drop(e, *parents)
     return labels

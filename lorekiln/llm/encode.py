@@ -9,12 +9,15 @@ minimal acyclic transducer, which workers memory-map; all other chunks are merge
 from __future__ import annotations
 
 import base64
+import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,18 +149,14 @@ def encode_texts(
     words = [" " + r.chunk for r in common.collect()]
     work.drop(counts)
     lexicon = Transducer.build({w.encode(): merge(w) for w in words})
-    shared = work.base
-    folder, tables = None, None
-    if shared.startswith("file:"):
-        folder = "/" + shared.split(":", 1)[1].lstrip("/") + "/tables"
-        lexicon.save(folder)
-    else:  # a shared folder that cannot be memory-mapped: the tables travel, a few MB by lexicon_words
-        tables = lexicon.tables()
-    sent = spark.sparkContext.broadcast((folder, tables, ranks_file))
+    # one file in the shared folder, which Spark hands to every executor that asks for it, also to one started later
+    table = work.put_bytes(lexicon.to_bytes(), f"lexicon-{uuid.uuid4().hex}.bin")
+    spark.sparkContext.addFile(table)
+    sent = spark.sparkContext.broadcast((os.path.basename(table), ranks_file))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, given, file = sent.value
-        enc = ChunkEncoder(Transducer.load(at) if at else Transducer(**given), vocabulary_encoder(file))
+        name, file = sent.value
+        enc = ChunkEncoder(Transducer.map(SparkFiles.get(name)), vocabulary_encoder(file))
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)

@@ -8,6 +8,7 @@ array. All tables are flat arrays that can be memory-mapped and shared by the wo
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -74,18 +75,26 @@ class Transducer:
             ids=np.array([x for o in outs for x in o], np.int32),
         )
 
-    def save(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for n in self.NAMES:
-            np.save(os.path.join(folder, n + ".npy"), getattr(self, n))
+    def to_bytes(self) -> bytes:
+        """All tables as one file, each array at a multiple of 8 bytes, so that it can be memory-mapped."""
+        head = {n: (getattr(self, n).dtype.str, len(getattr(self, n))) for n in self.NAMES}
+        text = json.dumps(head).encode()
+        parts = [len(text).to_bytes(8, "little"), text.ljust(-(-len(text) // 8) * 8)]
+        parts.extend(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in (np.asarray(getattr(self, n)) for n in self.NAMES))
+        return b"".join(parts)
 
     @classmethod
-    def load(cls, folder: str) -> Transducer:
-        """Memory-mapped tables of ``save``."""
-        return cls(**{n: np.load(os.path.join(folder, n + ".npy"), mmap_mode="r") for n in cls.NAMES})
-
-    def tables(self) -> dict[str, np.ndarray]:
-        return {n: np.asarray(getattr(self, n)) for n in self.NAMES}
+    def map(cls, path: str) -> Transducer:
+        """The tables of a file of ``to_bytes``, memory-mapped."""
+        raw = np.memmap(path, np.uint8, mode="r")
+        size = int.from_bytes(raw[:8].tobytes(), "little")
+        at = 8 + -(-size // 8) * 8
+        tables = {}
+        for n, (kind, length) in json.loads(raw[8 : 8 + size].tobytes()).items():
+            width = np.dtype(kind).itemsize * length
+            tables[n] = raw[at : at + width].view(kind)
+            at += -(-width // 8) * 8
+        return cls(**tables)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Rank of each word, -1 for words not in the lexicon. One pass a byte position over all words still alive."""

@@ -69,19 +69,18 @@ def pack_documents(
     their own. Items are hashed into blocks of about ``block_items`` and each block is packed by itself; prompts left
     with more than ``slack`` of their capacity unused are dissolved and packed again in fewer blocks, until one block
     is left or a round no longer halves the loose items. Documents without tokens need no room: one row with a null prompt_id. Windows with a null or
-    non-positive capacity are left out; repeated rows are packed as often as they stand. Empty tables: an empty result.
+    non-positive capacity are left out, and of several rows of one window the largest capacity counts; repeated rows
+    are packed as often as they stand. Empty tables: an empty result.
     """
     spark = sizes.sparkSession
     work = Stages(spark, "pack")
-    caps = {r.window_id: r.capacity_tokens for r in windows.select("window_id", "capacity_tokens").limit(1000).collect()}
-    caps = {w: int(c) for w, c in caps.items() if w is not None and c and c > 0}
-    if not caps:
-        caps_df = F.array().cast("array<struct<window_id:int,cap:int>>")
-    else:
-        caps_df = F.array(*[F.struct(F.lit(int(w)).alias("window_id"), F.lit(c).alias("cap")) for w, c in caps.items()])
+    caps = windows.where("window_id is not null and capacity_tokens > 0").groupBy(F.col("window_id").cast("int").alias("window_id"))
+    caps = caps.agg(F.max("capacity_tokens").cast("int").alias("cap"))
+    # one row that holds all windows: every document goes through each of them
+    all_caps = caps.agg(F.sort_array(F.collect_list(F.struct("window_id", "cap"))).alias("caps"))
     kind = sizes.schema[doc_id].dataType.simpleString()
     base = work.put(sizes.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")), "sizes")
-    each = base.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc", "n", F.explode(caps_df).alias("w"))
+    each = base.withColumn("uid", F.monotonically_increasing_id()).join(F.broadcast(all_caps)).select("uid", "doc", "n", F.explode("caps").alias("w"))
     each = each.select("uid", "doc", "n", "w.window_id", "w.cap")
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("cast((n - 1) div cap as int)"))))
     items = each.withColumn("piece_no", piece)

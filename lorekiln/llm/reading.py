@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 16
 FOLDS = 6
-MAX_PASSAGES = 5_000
+PASSAGES_PER_LEVEL = 1_000  # graded passages a level that the models are fitted on
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
 _ASIDE = re.compile(r"\([^()]{0,80}\)")
 _DIRT = re.compile("[­​-‏⁠﻿]")
@@ -180,9 +180,11 @@ class ReadingScale:
 
 
 def fit_scale(passages: DataFrame, text: str = "text", level: str = "reading_level", key: str = "passage_id") -> ReadingScale:
-    """Fit on at most ``MAX_PASSAGES`` graded passages (by key order); rows without text or level are left out."""
-    rows = passages.where(F.col(text).isNotNull() & F.col(level).isNotNull())
-    rows = rows.select(key, text, level).orderBy(level, key, text).limit(MAX_PASSAGES).collect()
+    """Fit on at most ``PASSAGES_PER_LEVEL`` graded passages of each level, the ones of smallest hash, so that no level
+    is left out however many passages the others have; rows without text or level are left out."""
+    rows = passages.where(F.col(text).isNotNull() & F.col(level).isNotNull()).select(key, text, level)
+    lot = F.row_number().over(Window.partitionBy(level).orderBy(F.xxhash64(text, F.col(key)), key, text))
+    rows = rows.withColumn("lot", lot).where(F.col("lot") <= PASSAGES_PER_LEVEL).orderBy(level, key, text).collect()
     if not rows:
         raise ValueError("no graded passages to learn from")
     return ReadingScale([r[text] for r in rows], [int(r[level]) for r in rows])
@@ -198,7 +200,7 @@ def reading_levels(
     repeated rows are graded each; other columns are not read. Whole texts are scored, however long.
     """
     rows = documents if where is None else documents.where(where)
-    sent = documents.sparkSession.sparkContext.broadcast(scale)  # bounded by MAX_PASSAGES
+    sent = documents.sparkSession.sparkContext.broadcast(scale)  # bounded by PASSAGES_PER_LEVEL
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value

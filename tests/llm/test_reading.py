@@ -41,3 +41,12 @@ def test_no_passages(spark):
 def test_held_out_accuracy():
     s = ReadingScale([(EASY, MID, HARD)[i % 3] * 3 for i in range(24)], [1 + i % 3 for i in range(24)])
     assert (s.level(s.held_out) == [1 + i % 3 for i in range(24)]).mean() > 0.9
+
+
+def test_no_level_is_left_out_of_many_passages(spark):
+    texts = [EASY, MID, HARD, "zinc quartz gneiss basalt ", "sonata fugue octave minor "]
+    rows = [(i, 1 + i % 5, texts[i % 5] * 2 + f"n{i}") for i in range(7500)]
+    scale = fit_scale(spark.createDataFrame(rows, "passage_id long, reading_level int, text string"))
+    assert scale.models.levels == [1, 2, 3, 4, 5]
+    docs = spark.createDataFrame([(i, t * 20) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.reading_level for r in reading_levels(docs, scale).collect()} == {i: i + 1 for i in range(5)}
