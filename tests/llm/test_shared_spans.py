@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from lorekiln.llm.shared_spans import Windows, estimates, shared_spans, window_sketch
+from lorekiln.llm import shared_spans as S
+from lorekiln.llm.shared_spans import Joined, anchor_sketch, anchored_runs, shared_spans
 
 
 def brute(rows, n):
@@ -50,12 +52,39 @@ def test_empty_table(spark):
     assert shared_spans(spark.createDataFrame([], "temp_qid string, source_quote string")).collect() == []
 
 
+@pytest.mark.parametrize("change", ["cells", "salted", "small slices"])
+def test_bounds_change_nothing(spark, monkeypatch, change):
+    """A sketch too small for the anchors, frequent anchors in salted parts, and slices of single texts."""
+    if change == "cells":
+        monkeypatch.setattr(S, "MAX_CELLS", 2**6)
+    elif change == "salted":
+        monkeypatch.setattr(S, "HEAVY", 3)
+        monkeypatch.setattr(S, "SALT_RECORDS", 4)
+    else:
+        monkeypatch.setattr(S, "_CHARS", 10)
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abcd") for _ in range(30)) for _ in range(4)]
+    rows = [(f"q{i % 90}", "".join(rnd.choice(parts)[rnd.randrange(9) :] for _ in range(3)) + f"#{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "temp_qid string, source_quote string").repartition(5)
+    got = {r.temp_qid: r.shared_chars for r in shared_spans(df, length=14).collect()}
+    assert got == brute(rows, 14)
+
+
+def test_equal_windows_have_equal_anchors():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("ab中") for _ in range(rnd.randrange(80))) for _ in range(50)]
+    j, full, seen, n = Joined(texts), "".join(texts), {}, 0
+    for first, end, anchor in zip(*anchored_runs(j, 12)):
+        for i in range(first, end):
+            seen.setdefault(full[i : i + 12], set()).add(anchor)
+            n += 1
+    assert n == sum(max(0, len(t) - 11) for t in texts) and all(len(a) == 1 for a in seen.values())
+
+
 def test_sketch_never_underestimates(spark):
     texts = [("abcdefghij" * 3,), ("abcdefghijk",), ("zzzzzzzzzzzz",), (None,)]
     df = spark.createDataFrame(texts, "t string").repartition(3)
-    sketch = window_sketch(df.where("t is not null"), "t", 10, 12)
-    h = Windows(10).hashes("abcdefghij")[0]
-    assert estimates(sketch, h, 12).min() >= 2
-    one = Windows(10).hashes("zzzzzzzzzz")[0]
-    assert estimates(sketch, one, 12)[0] >= 1
-    assert len(np.unique(Windows(10).hashes("zzzzzzzzzzzz")[0])) == 1
+    sketch = anchor_sketch(df.where("t is not null"), "t", 10, 12)
+    anchor = anchored_runs(Joined(["abcdefghij"]), 10)[2]
+    assert sketch.repeated(anchor).all() and not sketch.heavy(anchor).any()
+    assert len(np.unique(anchored_runs(Joined(["zzzzzzzzzzzz"]), 10)[2])) == 1
