@@ -14,7 +14,7 @@ from lorekiln.llm.pack import pack_documents
 from lorekiln.llm.reply_defects import fit_ends, fit_languages, reply_defects
 from lorekiln.llm.reading import fit_scale, reading_levels
 from lorekiln.llm.shared_spans import shared_spans
-from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key
+from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key, retained_values
 from lorekiln.plans.stage import spread
 
 
@@ -38,25 +38,27 @@ FIELDS = ["question_type", "hint_1", "explanation"]
 MULTI = ["answer_variations", "semantic_entity_refs", "semantic_lore_concepts"]
 
 
-def _survivors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = _t(spark, sf, "validation_batch")
     origin = F.concat_ws("\x1f", "question_source", F.col("original_question_id").cast("string"))
     origin = F.when(F.col("question_source").isNotNull() & F.col("original_question_id").isNotNull(), origin)
-    groups = duplicate_groups(v, "record_id", [origin, question_key(F.col("question"))])
-    trust = _t(spark, sf, "origin_trust").select("generation_model", "trust_rank")
-    return best_representatives(v, groups, "record_id", FIELDS, "generation_model", "updated_at", trust, MULTI)
+    return v, duplicate_groups(v, "record_id", [origin, question_key(F.col("question"))])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _survivors(spark, sf)[0]
+    v, groups = _groups(spark, sf)
+    trust = _t(spark, sf, "origin_trust").select("generation_model", "trust_rank")
+    return best_representatives(v, groups, "record_id", FIELDS, "generation_model", "updated_at", trust, MULTI)
 
 
 def p3_retained(spark: SparkSession, sf: str) -> DataFrame:
-    return _survivors(spark, sf)[1]
+    v, groups = _groups(spark, sf)
+    return retained_values(v, groups, "record_id", "generation_model", MULTI)[0]
 
 
 def p3_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return _survivors(spark, sf)[2]
+    v, groups = _groups(spark, sf)
+    return retained_values(v, groups, "record_id", "generation_model", MULTI)[1]
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

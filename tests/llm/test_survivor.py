@@ -1,8 +1,10 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key, source_quality
+from lorekiln.llm import survivor
+from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key, retained_values, source_quality
 
 SHAPE = "record_id long, src string, oid long, question string, question_type string, hint_1 string, model string, at timestamp, vals array<string>, group string"
 
@@ -32,7 +34,8 @@ def test_groups_and_field_by_field_survivors(spark):
     g = groups_of(df)
     assert {r.record_id for r in g.collect()} >= {1, 2, 3, 4, 7, 8}
     trust = spark.createDataFrame([("high", 1), ("low", 2)], "m string, r int")
-    picks, retained, quality = best_representatives(df, g, "record_id", ["question_type", "hint_1"], "model", "at", trust, ["vals"])
+    picks = best_representatives(df, g, "record_id", ["question_type", "hint_1"], "model", "at", trust, ["vals"])
+    retained, quality = retained_values(df, g, "record_id", "model", ["vals"])
     got = {tuple(r) for r in picks.collect()}
     # ties of rank and date go to the smaller id; the group of 7 and 8 has no hint at all
     assert got == {(1, "question_type", 4), (1, "hint_1", 2), (7, "question_type", 7)}
@@ -43,11 +46,22 @@ def test_groups_and_field_by_field_survivors(spark):
 def test_no_rows(spark):
     df = rows(spark, [])
     trust = spark.createDataFrame([], "m string, r int")
-    picks, retained, quality = best_representatives(df, groups_of(df), "record_id", ["hint_1"], "model", "at", trust, ["vals"])
+    picks = best_representatives(df, groups_of(df), "record_id", ["hint_1"], "model", "at", trust, ["vals"])
+    retained, quality = retained_values(df, groups_of(df), "record_id", "model", ["vals"])
     assert picks.count() == retained.count() == quality.count() == 0
 
 
-def test_quality_tells_honest_from_careless_sources_and_keeps_several_values(spark):
+def test_spellings_are_those_of_records(spark):
+    t = datetime(2025, 1, 1)
+    vals = (["Old Tower"], [" old tower"], ["Old Tower", "OLD TOWER"])
+    df = rows(spark, [(i, "a", 7, f"q{i}", "FR", "h", m, t, v) for i, (m, v) in enumerate(zip(("x", "y", "z"), vals))])
+    retained, _ = retained_values(df, groups_of(df), "record_id", "model", ["vals"])
+    assert [(r.group_id, r.value) for r in retained.collect()] == [(0, "Old Tower")]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_quality_tells_honest_from_careless_sources_and_keeps_several_values(spark, monkeypatch, most):
+    monkeypatch.setattr(survivor, "PATTERN_ROWS", most)
     claims = []
     for g in range(300):
         true = [f"t{g}a", f"t{g}b"]
