@@ -11,7 +11,7 @@ from lorekiln.llm.consolidate import consolidate_matches
 from lorekiln.llm.encode import encode_texts
 from lorekiln.llm.history_dedup import history_duplicates
 from lorekiln.llm.pack import pack_documents
-from lorekiln.llm.reply_defects import fit_ends, fit_languages, reply_defects
+from lorekiln.llm.reply_defects import fit_ends, fit_languages, fit_refusals, reply_defects
 from lorekiln.llm.reading import fit_scale, reading_levels
 from lorekiln.llm.shared_spans import shared_spans
 from lorekiln.llm.survivor import best_representatives, duplicate_groups, question_key, retained_values
@@ -26,8 +26,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spread(_t(spark, sf, "validation_batch").select("record_id", "question", "answer", "explanation"))
     languages = fit_languages(_t(spark, sf, "documents"), pairs)
     replies = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("answer", "explanation")]
-    ends = fit_ends(pairs.select(F.explode(F.array(*replies)).alias("r")).select("r.*"))
-    return reply_defects(pairs, languages, ends)
+    replies = pairs.select(F.explode(F.array(*replies)).alias("r")).select("r.*")
+    refusals = fit_refusals(replies.select("text").unionByName(pairs.select(F.col("question").alias("text"))))
+    return reply_defects(pairs, languages, refusals, fit_ends(replies))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ def models(spark):
     n = [(f"r{i}", GOOD.format(w, 1100 + i % 7)) for i in range(300) for w in ("old", "red", "blue")]
     n += [(f"a{i}", "because the bells had already rung twice that night") for i in range(200)]
     texts = spark.createDataFrame([("explanation" if k[0] == "r" else "answer", t) for k, t in n], "field string, text string")
-    return D.fit_languages(docs), D.fit_ends(texts)
+    return D.fit_languages(docs), D.fit_refusals(texts), D.fit_ends(texts)
 
 
 CASES = [
@@ -59,5 +59,26 @@ def test_models_of_empty_tables(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     texts = spark.createDataFrame([], "field string, text string")
     lm, em = D.fit_languages(docs, docs.select(F.lit("q").alias("question"))), D.fit_ends(texts)
+    assert D.refuses(D.fit_refusals(texts), "I cannot answer that.")
     assert D.other_language(lm, "Where did the old man live before?", "la casa vecchia sotto il ponte della città")
-    assert em.p_end("answer", ["a"]) > 0
+    key = em.words.end_key("answer", ["a"])
+    assert em.p_end(spark.createDataFrame([(key,)], "end string")).first().p > 0
+
+
+def test_keys_of_ends_hold_all_contexts(models):
+    words = models[2].words
+    for text in ("night", "the bells", "because the bells had already rung", ""):
+        tokens = D.tokens_of(text)
+        k = ["<s>", "<s>", *(D.word_class(words.words, t) for t in tokens)]
+        if tokens:
+            assert D.contexts_of(words.end_key("answer", tokens)) == D.contexts_at("answer", k, len(k) - 1)
+
+
+@pytest.mark.parametrize(("reply", "want"), [
+    ("The rules of the guild prevent smiths from selling.", False), ("No explanation was given by the queen, so the guards left.", False),
+    ("as a way to apologise to Anna, who had never answered", False), ("because he would not say what he had seen", False),
+    ("Leider kann ich dazu keine Auskunft geben.", True), ("Let us talk about something else.", True), ("My programming keeps me from discussing this.", True),
+    ("Hmm. This request falls outside what I am allowed to do", True), ("no puedo hablar de eso, lo siento", True),
+])
+def test_refusals(models, reply, want):
+    assert D.refuses(models[1], reply) == want
