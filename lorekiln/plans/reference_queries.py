@@ -889,11 +889,6 @@ def cosine_similarity(s, d):
     return a.join(b, ["label", "id_b"]).select("id_a", "id_b", F.round(fq.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AS valid FROM embeddings")
-def embedding_audit(s, d):
-    return t(s, d, "embeddings").select("vec_id", ((F.size("embedding") == 64) & ~F.exists("embedding", F.isnan)).alias("valid"))
-
-
 @query("SELECT record_id, lower(trim(answer,' ')) = lower(trim(answer_variations[1],' ')) AS exact FROM validation_batch WHERE answer IS NOT NULL")
 def exact_match(s, d):
     f = lambda c: F.lower(F.trim(c))
@@ -901,12 +896,6 @@ def exact_match(s, d):
     return v.select("record_id", (f(F.col("answer")) == f(F.get("answer_variations", F.lit(0)))).alias("exact"))
 
 
-@query()
-def fuzzy_ratio(s, d):
-    v = t(s, d, "validation_batch").select("record_id", "answer", F.explode("answer_variations").alias("variation"))
-    return v.select("record_id", "variation", F.round(fq.indel_ratio(F.lower("answer"), F.lower("variation")), 6).alias("ratio"))
-
-
 # ---------------------------------------------------------------- validation
 
 
@@ -998,38 +987,6 @@ def group_duplicates(s, d):
 
 
 
-@query(
-    f"SELECT record_id, CASE WHEN p = g THEN 'fr_exact' WHEN false THEN 'fr_fuzzy' WHEN pw > 6 OR (pw >= 2*gw AND pw >= 8) THEN CASE WHEN record_id % 2 = 0 THEN 'fr_llm_judge_pass' ELSE 'fr_llm_judge_fail' END WHEN sim >= 0.8 THEN 'fr_passed_primary_semantic' WHEN sim >= 0.5 AND hit AND least(sim + 0.1, 1.0) >= 0.8 THEN 'fr_passed_semantic_boosted' ELSE 'fr_failed_primary_semantic' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(answer_variations[1]) AS g, {WC.format('answer')} AS pw, {WC.format('answer_variations[1]')} AS gw, (record_id % 100) / 100.0::DOUBLE AS sim, record_id % 3 = 0 AS hit FROM validation_batch WHERE answer IS NOT NULL AND answer_variations[1] IS NOT NULL)"
-)
-def eval_fr(s, d):
-    v = t(s, d, "validation_batch").withColumn("g", F.get("answer_variations", F.lit(0))).where("answer is not null and g is not null")
-    i = F.col("record_id")
-    tier = evaluate.evaluate_fr(F.lower("answer"), F.lower("g"), F.lit(0.0), (i % 100) / F.lit(100.0), i % 3 == 0, i % 2 == 0)
-    return v.select("record_id", tier.alias("tier"))
-
-
-@query(
-    f"SELECT record_id, CASE WHEN p = g THEN 'ex_exact' WHEN sim < 0.4 AND NOT (pw >= 2*gw) THEN 'ex_failed_semantic' WHEN record_id % 2 = 0 THEN 'ex_llm_judge_pass' ELSE 'ex_llm_judge_fail' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(explanation) AS g, {WC.format('answer')} AS pw, {WC.format('explanation')} AS gw, (record_id % 100) / 100.0::DOUBLE AS sim FROM validation_batch WHERE answer IS NOT NULL AND explanation IS NOT NULL)"
-)
-def eval_ex(s, d):
-    v = t(s, d, "validation_batch").where("answer is not null and explanation is not null")
-    i = F.col("record_id")
-    tier = evaluate.evaluate_ex(F.lower("answer"), F.lower("explanation"), F.lit(0.0), (i % 100) / F.lit(100.0), i % 2 == 0)
-    return v.select("record_id", tier.alias("tier"))
-
-
-@query(
-    "SELECT record_id, CASE WHEN p = g THEN 'mcq_exact' WHEN record_id % 100 >= 75 AND record_id % 10 >= 3 THEN 'mcq_passed_semantic' ELSE 'mcq_failed_semantic' END AS tier FROM (SELECT record_id, lower(answer) AS p, lower(mcq_options[1]) AS g FROM validation_batch WHERE answer IS NOT NULL AND mcq_options[1] IS NOT NULL)"
-)
-def eval_mcq(s, d):
-    v = t(s, d, "validation_batch").withColumn("g", F.get("mcq_options", F.lit(0))).where("answer is not null and g is not null")
-    i = F.col("record_id")
-    tier = evaluate.evaluate_mcq(F.lower("answer"), F.lower("g"), F.lit(0.0), (i % 100) / F.lit(100.0), (i % 10) / F.lit(10.0))
-    return v.select("record_id", tier.alias("tier"))
-
-
-
-
 def _number_sql(c: str) -> str:
     words = c
     for w, n in fq.NUMBER_WORDS:

@@ -130,24 +130,6 @@ def normalize_numeric_text(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.normalize_numeric(F.col("answer")).alias("number_text"))
 
 
-@query(
-    r"SELECT record_id, trim(regexp_replace(regexp_replace(lower(explanation), '\([^)]*\)', '', 'g'), '([0-9]+)(st|nd|rd|th)\b', '\1', 'g'), ' ') AS date_text FROM validation_batch"
-)
-def normalize_date_text(s, d):
-    e = F.regexp_replace(F.lower("explanation"), r"\([^)]*\)", "")
-    return t(s, d, "validation_batch").select("record_id", F.trim(F.regexp_replace(e, r"([0-9]+)(st|nd|rd|th)\b", "$1")).alias("date_text"))
-
-
-@query(
-    "SELECT o_orderkey, CAST(day(o_orderdate) AS INT) AS day, CAST(month(o_orderdate) AS INT) AS month, CAST(year(o_orderdate) AS INT) AS year FROM orders"
-)
-def extract_date_entities(s, d):
-    text = F.date_format(F.col("o_orderdate"), "d MMMM yyyy")
-    day = F.coalesce(F.expr("try_to_date(txt, 'd MMMM yyyy')"), F.expr("try_to_date(txt, 'yyyy-MM-dd')"))
-    o = t(s, d, "orders").select("o_orderkey", text.alias("txt")).withColumn("day_", day)
-    return o.select("o_orderkey", F.dayofmonth("day_").alias("day"), F.month("day_").alias("month"), F.year("day_").alias("year"))
-
-
 @query(
     "SELECT file_id, line_no, coalesce(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.temp_qid') END, nullif(regexp_extract(payload, '\"temp_qid\": *\"([^\"]*)\"', 1), '')) AS temp_qid FROM judge_raw WHERE json_valid(payload)"
 )
@@ -193,13 +175,6 @@ def categorize_cascade_v0(s, d):
     return t(s, d, "validation_batch").select("record_id", c.alias("category"))
 
 
-@query(
-    f"SELECT record_id, CASE WHEN len(k) >= 3 THEN list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i+1] || ' ' || k[i+2]) ELSE [] END AS windows FROM (SELECT record_id, {TOK} AS k FROM validation_batch)"
-)
-def sentence_ngrams(s, d):
-    return t(s, d, "validation_batch").select("record_id", fq.ngrams(fq.tokens(F.col("question")), 3).alias("windows"))
-
-
 # ---------------------------------------------------------------- vectors
 
 
@@ -222,22 +197,6 @@ def pairwise_cosine_batch(s, d):
     return _near_pairs(s, d).select("id_a", "id_b", F.round("cos", 6).alias("cos"))
 
 
-@query(f"WITH {_NEAR} SELECT id_a, round(greatest(max(cos), 0.0), 6) AS best FROM p GROUP BY 1")
-def best_variation_score(s, d):
-    return _near_pairs(s, d).groupBy("id_a").agg(F.round(F.greatest(F.max("cos"), F.lit(0.0)), 6).alias("best"))
-
-
-@query(f"WITH {_NEAR}, r AS (SELECT id_a, cos, row_number() OVER (PARTITION BY id_a ORDER BY cos DESC) AS rn FROM p) SELECT id_a, round(max(cos) FILTER (rn = 1) - max(cos) FILTER (rn = 2), 6) AS margin FROM r GROUP BY 1")
-def distractor_margin(s, d):
-    g = _near_pairs(s, d).groupBy("id_a").agg(F.sort_array(F.collect_list("cos"), asc=False).alias("c"))  # three at most
-    return g.select("id_a", F.round(F.get("c", F.lit(0)) - F.get("c", F.lit(1)), 6).alias("margin"))
-
-
-@query(f"WITH {_NEAR} SELECT label, round(max(cos), 6) AS collision FROM p GROUP BY 1")
-def collision_risk(s, d):
-    return _near_pairs(s, d).groupBy("label").agg(F.round(F.max("cos"), 6).alias("collision"))
-
-
 TILE = 1024  # vectors a side of a tile
 
 
@@ -316,18 +275,6 @@ def collision_risk_all(s, d):
     return _top_two(s, d).groupBy("label").agg(F.round(F.max("best"), 6).alias("collision"))
 
 
-@query("SELECT vec_id, round(exp(x) / (exp(x) + exp(y) + exp(z)), 6) AS p_entail FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)")
-def nli_entailment(s, d):
-    e = [F.exp(F.get("embedding", F.lit(i)).cast("double")) for i in range(3)]
-    return t(s, d, "embeddings").select("vec_id", F.round(e[0] / (e[0] + e[1] + e[2]), 6).alias("p_entail"))
-
-
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 5) AS norm FROM embeddings")
-def tensor_hydrate(s, d):
-    v = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return t(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(v), 5).alias("norm"))
-
-
 @query(
     f"WITH {_TFIDF}, b AS (SELECT record_id AS id, {AW} AS n FROM validation_batch) SELECT CASE WHEN c > 0.05 THEN 'related' WHEN c > 0 THEN 'weak' ELSE 'zero' END AS bin, count(*) AS n FROM (SELECT v.record_id, coalesce(sum(w.w), 0) AS c FROM validation_batch v LEFT JOIN w ON w.record_id = v.record_id AND w.term = regexp_extract(lower(coalesce(v.answer,'')), '([a-z0-9]+)', 1) GROUP BY 1) GROUP BY 1"
 )
@@ -412,33 +359,3 @@ def tag_duplicates_override(s, d):
     return j.select("temp_qid", F.coalesce("cluster", "temp_qid").alias("golden"), F.coalesce(F.col("cluster") != F.col("temp_qid"), F.lit(False)).alias("is_duplicate"))
 
 
-@query(
-    "SELECT record_id, CASE WHEN trim(coalesce(answer,''), ' ') = '' THEN 'empty_submission' WHEN question_type = 'MCQ' THEN 'mcq' WHEN question_type = 'EX' THEN 'ex' WHEN question_type = 'FR' THEN 'fr' ELSE 'error' END AS route FROM validation_batch"
-)
-def route_eval(s, d):
-    k = F.col("question_type")
-    r = F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", "empty_submission").when(k == "MCQ", "mcq").when(k == "EX", "ex").when(k == "FR", "fr").otherwise("error")
-    return t(s, d, "validation_batch").select("record_id", r.alias("route"))
-
-
-@query(
-    "SELECT record_id, updated_at IS NOT DISTINCT FROM first_value(updated_at) OVER (PARTITION BY question_source, original_question_id ORDER BY record_id) AS same_date FROM validation_batch WHERE original_question_id IS NOT NULL AND question_source IS NOT NULL"
-)
-def eval_date(s, d):
-    key = ["question_source", "original_question_id"]
-    v = t(s, d, "validation_batch").select(*key, "record_id", "updated_at").dropna(subset=key)
-    gold = v.groupBy(*key).agg(F.min_by("updated_at", "record_id").alias("gold"))
-    return v.join(gold, key).select("record_id", F.col("updated_at").eqNullSafe(F.col("gold")).alias("same_date"))
-
-
-@query("SELECT event_type, CASE WHEN avg(value) < 50 THEN 'OK' WHEN avg(value) < 100 THEN 'DEGRADED' ELSE 'FAILED' END AS health FROM events GROUP BY 1")
-def llm_health(s, d):
-    m = F.avg("value")
-    return t(s, d, "events").groupBy("event_type").agg(F.when(m < 50, "OK").when(m < 100, "DEGRADED").otherwise("FAILED").alias("health"))
-
-
-@query("SELECT tier, count(*) AS n, round(avg(q), 6) AS mean_similarity FROM (SELECT CASE WHEN is_match THEN 'pass' ELSE 'fail' END AS tier, quote_similarity AS q FROM quote_matches WHERE is_match IS NOT NULL AND quote_similarity IS NOT NULL AND NOT isnan(quote_similarity)) GROUP BY 1")
-def fail_summary_by_tier(s, d):
-    q = F.col("quote_similarity")
-    m = t(s, d, "quote_matches").where(F.col("is_match").isNotNull() & q.isNotNull() & ~F.isnan(q))
-    return m.groupBy(F.when(F.col("is_match"), "pass").otherwise("fail").alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg(q), 6).alias("mean_similarity"))
