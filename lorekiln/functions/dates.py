@@ -40,8 +40,13 @@ def normalize_date_text(c: Column) -> Column:
 def date_entities(c: Column) -> Column:
     """struct(day, month, year) of the first date of a text, null parts where it names none; null without a date, and
     where day or month cannot be one."""
-    t = normalize_date_text(c)
-    out = F.when(F.lit(False), F.lit(None).cast("struct<day:int,month:int,year:int>"))
+    # bound to a name, so that the text is made once and not once a format
+    return F.get(F.transform(F.array(normalize_date_text(c)), _parts), F.lit(0))
+
+
+def _parts(t: Column) -> Column:
+    none = F.lit(None).cast("struct<day:int,month:int,year:int>")
+    out = F.when(F.lit(False), none)
 
     def part(pattern: str, group: int, name: bool = False) -> Column:
         if not group:
@@ -52,19 +57,20 @@ def date_entities(c: Column) -> Column:
     for pattern, day, month, year, name in FORMATS:
         found = F.struct(part(pattern, day).alias("day"), part(pattern, month, name).alias("month"), part(pattern, year).alias("year"))
         out = out.when(t.rlike(pattern), found)
-    out = out.otherwise(F.lit(None).cast("struct<day:int,month:int,year:int>"))
-    fits = F.coalesce(out["day"], F.lit(1)).between(1, 31) & F.coalesce(out["month"], F.lit(1)).between(1, 12)
-    return F.when(fits, out)
+    out = F.array(out.otherwise(none))
+    fits = lambda e: F.coalesce(e["day"], F.lit(1)).between(1, 31) & F.coalesce(e["month"], F.lit(1)).between(1, 12)
+    return F.get(F.filter(out, fits), F.lit(0))
 
 
 def evaluate_date(player: Column, gold: Column) -> Column:
     """Tier of a date answer: all three parts equal, missing ones included."""
-    p, g = date_entities(player), date_entities(gold)
+    return F.get(F.transform(F.array(F.struct(date_entities(player).alias("p"), date_entities(gold).alias("g"))), _tier), F.lit(0))
+
+
+def _tier(x: Column) -> Column:
+    p, g = x["p"], x["g"]
+    same = p["day"].eqNullSafe(g["day"]) & p["month"].eqNullSafe(g["month"]) & p["year"].eqNullSafe(g["year"])
     return (
-        F.when(g.isNull(), "date_exact_fail_invalid_gold")
-        .when(p.isNull(), "date_exact_fail_invalid_player_ans")
-        .when(p == g, "date_exact_pass")
-        .otherwise(
-            F.when(p["day"].eqNullSafe(g["day"]) & p["month"].eqNullSafe(g["month"]) & p["year"].eqNullSafe(g["year"]), "date_exact_pass").otherwise("date_exact_fail")
-        )
-    )
+        F.when(g.isNull(), "date_exact_fail_invalid_gold").when(p.isNull(), "date_exact_fail_invalid_player_ans")
+        .when(same, "date_exact_pass").otherwise("date_exact_fail")
+    )
