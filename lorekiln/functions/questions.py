@@ -42,6 +42,15 @@ def tokens(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1), F.array().cast("array<string>"))
 
 
+def lemmas(t: Column, stop_words: tuple[str, ...] = (), forms: dict[str, str] | None = None) -> Column:
+    """Tokens without stop words and single characters, forms replaced by their lemma where ``forms`` has one."""
+    kept = F.filter(t, lambda x: (F.length(x) > 1) & ~x.isin(*stop_words)) if stop_words else F.filter(t, lambda x: F.length(x) > 1)
+    if not forms:
+        return kept
+    known = F.create_map(*[F.lit(x) for p in forms.items() for x in p])
+    return F.transform(kept, lambda x: F.coalesce(known[x], x))
+
+
 def word_count(c: Column) -> Column:
     """Number of word runs; null counts 0."""
     return F.coalesce(F.regexp_count(c, F.lit(r"[A-Za-z0-9_]+")), F.lit(0)).cast("long")

@@ -28,3 +28,15 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], take: str,
     back = F.coalesce("_back", "_far")
     same = back["g"].eqNullSafe(g)
     return rows.withColumn(name, F.when(same, back["v"])).drop("_part", "_back", "_far")
+
+
+def with_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row by ``order``, from 0 on. Rows are numbered within range partitions;
+    what stands before a partition is summed over one row a partition."""
+    work = Stages(df.sparkSession, "ordinal")
+    parts = work.put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "parts")
+    size = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = size.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = parts.withColumn("_i", inside).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_part", "_i", "_before")

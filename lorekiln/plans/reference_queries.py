@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions import questions as fq
 from lorekiln.operators import evaluate
 from lorekiln.operators.clusters import connected
+from lorekiln.plans.order import with_ordinal
 from lorekiln.streaming.telemetry import windowed_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,12 +157,6 @@ def find_rows_with_token(s, d):
     return t(s, d, "validation_batch").where(F.coalesce(F.array_contains("answer_variations", F.col("answer")), F.lit(False))).select("record_id")
 
 
-@query("SELECT count(*) AS n FROM judge_batch j WHERE EXISTS (SELECT 1 FROM quote_matches m WHERE m.temp_qid_a = j.temp_qid)")
-def filter_isin(s, d):
-    ids = t(s, d, "quote_matches").select(F.col("temp_qid_a").alias("temp_qid"))
-    return t(s, d, "judge_batch").join(ids, "temp_qid", "left_semi").agg(F.count("*").alias("n"))
-
-
 @query("SELECT j.temp_qid, j.received_at FROM judge_batch j WHERE NOT EXISTS (SELECT 1 FROM quote_matches m WHERE m.temp_qid_a = j.temp_qid OR m.temp_qid_b = j.temp_qid)")
 def filter_not_isin(s, d):
     m = t(s, d, "quote_matches")
@@ -258,15 +253,6 @@ def join_left_one_to_one(s, d):
     return j.select("c_custkey", "c_name", "n_name", "r_name")
 
 
-@query(
-    "SELECT old_flag, new_flag, count(*) AS n FROM (SELECT coalesce(is_match,false) AS old_flag, coalesce(quote_similarity >= 0.5 AND NOT isnan(quote_similarity), false) AS new_flag FROM quote_matches) GROUP BY 1,2"
-)
-def join_flag_diff(s, d):
-    q = F.col("quote_similarity")
-    m = t(s, d, "quote_matches").select(F.coalesce("is_match", F.lit(False)).alias("old_flag"), F.coalesce((q >= 0.5) & ~F.isnan(q), F.lit(False)).alias("new_flag"))
-    return m.groupBy("old_flag", "new_flag").agg(F.count("*").alias("n"))
-
-
 @query("SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def join_run_metadata(s, d):
     l, o = t(s, d, "lineitem"), t(s, d, "orders")
@@ -282,12 +268,6 @@ def self_pairs_in_batch(s, d):
     return a.join(b, ["batch_no", "source_reference"]).where("id_a < id_b").select("batch_no", "id_a", "id_b")
 
 
-@query("SELECT record_id, CAST(i AS BIGINT) AS pos, variation FROM (SELECT record_id, unnest(answer_variations) AS variation, generate_subscripts(answer_variations,1) AS i FROM validation_batch)")
-def seq_zip_join(s, d):
-    v = t(s, d, "validation_batch").select("record_id", F.posexplode("answer_variations").alias("p", "variation"))
-    return v.select("record_id", (F.col("p") + 1).cast("long").alias("pos"), "variation")
-
-
 # ---------------------------------------------------------------- set operations
 
 
@@ -333,7 +313,8 @@ def order_by_custom_rank(s, d):
     names = t(s, d, "judge_raw").select("file_name").distinct()
     kind = F.when(f.startswith("iteration"), 0).when(f.startswith("prompt"), 1).otherwise(2)
     last = F.coalesce(F.expr("try_cast(nullif(regexp_extract(file_name, '([0-9]+)[^0-9]*$', 1), '') as bigint)"), F.lit(0))
-    return names.select("file_name", F.row_number().over(Window.orderBy(kind, last, "file_name")).cast("long").alias("rank"))
+    ranked = with_ordinal(names.select("file_name", kind.alias("kind"), last.alias("last")), ["kind", "last", "file_name"], "i")
+    return ranked.select("file_name", (F.col("i") + 1).cast("long").alias("rank"))
 
 
 @query("SELECT record_id FROM validation_batch WHERE question_type = 'EX' ORDER BY record_id LIMIT 10")
@@ -543,14 +524,6 @@ def tier_distribution(s, d):
     return all_.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(
-    "SELECT user_id, count(*) AS turns, CAST(count_if(event_type='purchase') AS BIGINT) AS correct, bool_or(event_type='error') AS quit, round(avg(value),6) AS mean_value FROM events GROUP BY 1"
-)
-def session_aggregates(s, d):
-    e = F.col("event_type")
-    return t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("turns"), F.count_if(e == "purchase").alias("correct"), F.bool_or(e == "error").alias("quit"), F.round(F.avg("value"), 6).alias("mean_value"))
-
-
 @query(
     "SELECT event_type, round(coalesce(avg(value),0),6) AS mean, coalesce(quantile_cont(value,0.95),0) AS p95, coalesce(min(value),0) AS min, coalesce(max(value),0) AS max FROM events GROUP BY 1"
 )
@@ -567,15 +540,6 @@ def evaluator_accuracy(s, d):
     return t(s, d, "quote_matches").groupBy("source_reference").agg(F.count("*").alias("n"), F.round(F.avg(F.when(m, 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count_if(m.isNull()).alias("escalated"))
 
 
-@query(
-    "SELECT o_orderstatus, CAST(sum(greatest(l_quantity - 10, 0)) AS DOUBLE) AS uncached, CAST(sum(least(l_quantity, 10)) AS DOUBLE) AS cached FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
-)
-def token_accounting(s, d):
-    l, o = t(s, d, "lineitem"), t(s, d, "orders")
-    q = F.col("l_quantity")
-    return l.join(o, l.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").agg(F.sum(F.greatest(q - 10, F.lit(0.0))).alias("uncached"), F.sum(F.least(q, F.lit(10.0))).alias("cached"))
-
-
 BOOK = "regexp_extract(source, '^(.*)_chapter_', 1)"
 
 
@@ -652,9 +616,7 @@ def stratified_sample(s, d):
     "SELECT temp_qid, 'SYN_' || lpad(CAST(row_number() OVER (ORDER BY temp_qid) AS VARCHAR), 6, '0') AS new_id FROM (SELECT DISTINCT temp_qid FROM judge_batch)"
 )
 def assign_sequential_ids(s, d):
-    # sorted partitions are numbered one after the other: offsets are counted first, so no task sees all rows
-    x = t(s, d, "judge_batch").select("temp_qid").distinct().repartitionByRange("temp_qid").sortWithinPartitions("temp_qid")
-    rows = x.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1)).toDF("temp_qid string, n long")
+    rows = with_ordinal(t(s, d, "judge_batch").select("temp_qid").distinct(), ["temp_qid"], "i").withColumn("n", F.col("i") + 1)
     return rows.select("temp_qid", F.concat(F.lit("SYN_"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("new_id"))
 
 
@@ -707,15 +669,6 @@ def chapter_word_share(s, d):
     return c.withColumn("share", F.round(F.col("chars") / F.avg("chars").over(Window.partitionBy("book")), 6))
 
 
-@query(
-    "SELECT user_id, session, count(*) AS n FROM (SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY md5(CAST(event_id AS VARCHAR))) - 1) // 5 AS BIGINT) AS session FROM events) GROUP BY 1,2 HAVING count(*) = 5"
-)
-def session_allocation(s, d):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.md5(F.col("event_id").cast("string"))))
-    e = t(s, d, "events").select("user_id", F.floor((n - 1) / 5).alias("session"))
-    return e.groupBy("user_id", "session").agg(F.count("*").alias("n")).where("n = 5")
-
-
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -729,14 +682,8 @@ def clean_text(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.clean_text(F.col("question")).alias("text"))
 
 
-@query(r"SELECT record_id, trim(regexp_replace(lower(answer), '[!-/:-@\[-`{-~]', '', 'g'), ' ') AS text FROM validation_batch WHERE regexp_full_match(answer, '[ -~]*')")
-def clean_input_string(s, d):
-    v = t(s, d, "validation_batch").where(F.col("answer").rlike("^[ -~]*$"))
-    return v.select("record_id", fq.clean_input(F.col("answer")).alias("text"))
-
-
 @query()
-def clean_input_string_all(s, d):
+def clean_input_string(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.clean_input_text("answer").alias("text"))
 
 
@@ -787,13 +734,6 @@ def classify_answer_type(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.answer_type(F.col("answer")).alias("answer_type"))
 
 
-@query(
-    r"SELECT record_id, CASE WHEN len(f) = 1 THEN TRY_CAST(f[1] AS BIGINT) * CASE WHEN regexp_matches(lower(answer), '\b(bc|bce|b\.c\.|b\.c\.e\.)(\b|$| )') THEN -1 ELSE 1 END END AS number FROM (SELECT record_id, answer, regexp_extract_all(replace(lower(answer),',',''), '[0-9]+') AS f FROM validation_batch)"
-)
-def parse_single_number(s, d):
-    return t(s, d, "validation_batch").select("record_id", fq.single_number(F.col("answer")).alias("number"))
-
-
 _NW = "answer"
 for _w, _n in fq.NUMBER_WORDS:
     _NW = f"regexp_replace({_NW}, '\\b{_w}\\b', '{_n}', 'gi')"
@@ -912,46 +852,6 @@ def enforce_schema(s, d):
     return t(s, d, "validation_batch").select("record_id", errors.alias("errors"))
 
 
-@query(
-    "SELECT record_id, count(*) OVER (PARTITION BY question_source, original_question_id) > 1 AND original_question_id IS NOT NULL AS duplicate_id FROM validation_batch"
-)
-def enforce_schema_pipeline(s, d):
-    v = t(s, d, "validation_batch").select("record_id", "question_source", "original_question_id")
-    many = v.where("original_question_id is not null").groupBy("question_source", "original_question_id").count().where("count > 1")
-    j = v.join(many, ["question_source", "original_question_id"], "left")
-    return j.select("record_id", F.col("count").isNotNull().alias("duplicate_id"))
-
-
-@query(
-    "SELECT record_id, CASE WHEN question_type = 'EX' THEN n >= 3 WHEN question_type IN ('FR','MCQ') THEN n <= 15 ELSE true END AS valid FROM (SELECT record_id, question_type, "
-    + AW
-    + " AS n FROM validation_batch)"
-)
-def category_alignment(s, d):
-    k, n = F.col("question_type"), fq.word_count(F.col("answer"))
-    ok = F.when(k == "EX", n >= 3).when(k.isin("FR", "MCQ"), n <= 15).otherwise(True)
-    return t(s, d, "validation_batch").select("record_id", ok.alias("valid"))
-
-
-@query(
-    "SELECT record_id, len(list_filter(answer_variations, lambda x: NOT (contains(lower(x), lower(answer)) OR contains(lower(answer), lower(x))))) = 0 AS aligned FROM validation_batch WHERE answer IS NOT NULL AND answer_variations IS NOT NULL"
-)
-def variation_alignment(s, d):
-    a = F.lower("answer")
-    v = t(s, d, "validation_batch").where("answer is not null and answer_variations is not null")
-    hit = F.forall("answer_variations", lambda x: F.lower(x).contains(a) | a.contains(F.lower(x)))
-    return v.select("record_id", hit.alias("aligned"))
-
-
-@query(
-    "SELECT record_id, coalesce(list_contains(mcq_options, answer), true) AS present, coalesce(len(list_distinct(mcq_options)) < len(mcq_options), false) AS duplicates FROM validation_batch WHERE answer IS NOT NULL"
-)
-def mcq_alignment(s, d):
-    v = t(s, d, "validation_batch").where("answer is not null")
-    o = F.col("mcq_options")
-    return v.select("record_id", F.coalesce(F.array_contains(o, F.col("answer")), F.lit(True)).alias("present"), F.coalesce(F.size(F.array_distinct(o)) < F.size(o), F.lit(False)).alias("duplicates"))
-
-
 @query(
     "SELECT CAST(count_if(question IS NULL) AS BIGINT) AS question_nulls, CAST(count_if(answer IS NULL) AS BIGINT) AS answer_nulls, CAST(count_if(mcq_options IS NULL) AS BIGINT) AS option_nulls FROM validation_batch"
 )
@@ -959,13 +859,6 @@ def null_integrity(s, d):
     return t(s, d, "validation_batch").agg(*[F.count_if(F.col(c).isNull()).alias(a) for c, a in (("question", "question_nulls"), ("answer", "answer_nulls"), ("mcq_options", "option_nulls"))])
 
 
-@query(
-    "SELECT question, answer, min(staging_id) AS staging_id, count(*) AS n FROM staging_batch WHERE question IS NOT NULL AND answer IS NOT NULL GROUP BY 1,2"
-)
-def ingest_validate(s, d):
-    return t(s, d, "staging_batch").dropna(subset=["question", "answer"]).groupBy("question", "answer").agg(F.min("staging_id").alias("staging_id"), F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- clusters, evaluation, streams
 
 
@@ -976,17 +869,6 @@ def connected_components(s, d):
     return connected(t(s, d, "quote_matches").where("is_match"), "temp_qid_a", "temp_qid_b")
 
 
-@query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT temp_qid_a AS a, temp_qid_b AS b FROM quote_matches WHERE quote_similarity > 0.95 AND NOT isnan(quote_similarity) AND temp_qid_a <> temp_qid_b UNION SELECT temp_qid_b, temp_qid_a FROM quote_matches WHERE quote_similarity > 0.95 AND NOT isnan(quote_similarity) AND temp_qid_a <> temp_qid_b), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY 1) SELECT cluster, count(*) AS n, max(node) AS last FROM c GROUP BY 1"
-)
-def group_duplicates(s, d):
-    q = F.col("quote_similarity")
-    c = connected(t(s, d, "quote_matches").where((q > 0.95) & ~F.isnan(q)), "temp_qid_a", "temp_qid_b")
-    return c.groupBy("cluster").agg(F.count("*").alias("n"), F.max("node").alias("last"))
-
-
-
-
 def _number_sql(c: str) -> str:
     words = c
     for w, n in fq.NUMBER_WORDS:
@@ -1010,24 +892,6 @@ def windowed_telemetry(s, d):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query(
-    f"WITH {_TFIDF.replace('validation_batch', 'staging_batch').replace('record_id', 'staging_id')}, b AS (SELECT staging_id, batch_no FROM staging_batch) SELECT x.staging_id AS id_a, y.staging_id AS id_b, round(sum(x.w*y.w), 4) AS cos FROM w x JOIN w y ON x.term = y.term AND x.staging_id < y.staging_id JOIN b p ON p.staging_id = x.staging_id JOIN b q ON q.staging_id = y.staging_id AND p.batch_no = q.batch_no GROUP BY 1, 2 HAVING sum(x.w*y.w) >= 0.6"
-)
-def cosine_tfidf_pairs(s, d):
-    b = t(s, d, "staging_batch").select("staging_id", "batch_no", "question")
-    w = tfidf(b, "staging_id", fq.tokens(F.col("question"))).join(b.select("staging_id", "batch_no"), "staging_id")
-    x = w.select("batch_no", "term", F.col("staging_id").alias("id_a"), F.col("w").alias("wa"))
-    y = w.select("batch_no", "term", F.col("staging_id").alias("id_b"), F.col("w").alias("wb"))
-    # within a batch only: terms that many batches share never meet across them
-    p = x.join(y, ["batch_no", "term"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("c"))
-    return p.where("c >= 0.6").select("id_a", "id_b", F.round("c", 4).alias("cos"))
-
-
-@query("SELECT source_reference, count(*) AS n FROM quote_matches WHERE is_match AND NOT (source_reference IS NULL) GROUP BY 1")
-def judge_filter(s, d):
-    return t(s, d, "quote_matches").where("is_match and source_reference is not null").groupBy("source_reference").agg(F.count("*").alias("n"))
-
-
 @query(
     f"WITH q AS (SELECT question_type, quantile_cont({AW}, 0.25) AS q1, quantile_cont({AW}, 0.75) AS q3 FROM validation_batch WHERE question_type IN ('EX','FR','MCQ') GROUP BY 1) SELECT a.question_type AS type_a, b.question_type AS type_b, a.q1 <= b.q3 AND b.q1 <= a.q3 AS overlap FROM q a, q b WHERE a.question_type < b.question_type"
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import questions as fq
 from lorekiln.operators.clusters import connected
+from lorekiln.plans.order import with_ordinal
 from lorekiln.plans.reference_queries import AW, KEYWORD, TOK, _TFIDF, query, t, tfidf
 from lorekiln.sources.files import serialize_complex
 
@@ -55,27 +56,10 @@ def jsonl_lineage(s, d):
     return t(s, d, "staging_batch").select("batch_no", "staging_id", F.concat_ws("_", F.lit("run1"), "batch_no", n).alias("lineage_id"))
 
 
-@query("SELECT temp_qid, min(received_at) AS first_seen FROM judge_batch WHERE temp_qid IN ('SYN_000000001','SYN_000000002') GROUP BY 1")
-def run_selection(s, d):
-    picked = s.createDataFrame([("SYN_000000001",), ("SYN_000000002",)], "temp_qid string")
-    return t(s, d, "judge_batch").join(F.broadcast(picked), "temp_qid", "left_semi").groupBy("temp_qid").agg(F.min("received_at").alias("first_seen"))
-
-
 @query("SELECT vec_id, label, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos FROM embeddings QUALIFY pos IN (0, 7, 11)")
 def position_lookup(s, d):
     e = t(s, d, "embeddings").select("vec_id", "label")
-    # ordinals by sorted partitions, so no task holds all rows
-    rows = e.repartitionByRange("vec_id").sortWithinPartitions("vec_id").rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return rows.toDF("vec_id long, label int, pos long").where(F.col("pos").isin(0, 7, 11))
-
-
-@query(
-    "SELECT record_id, coalesce(CASE WHEN question_type IN ('EX','FR','MCQ','YN') THEN question_type END, CASE WHEN mcq_options IS NOT NULL THEN 'MCQ' ELSE 'FR' END) AS question_type FROM validation_batch"
-)
-def join_manual_override(s, d):
-    k = F.col("question_type")
-    auto = F.when(F.col("mcq_options").isNotNull(), "MCQ").otherwise("FR")
-    return t(s, d, "validation_batch").select("record_id", F.coalesce(F.when(k.isin("EX", "FR", "MCQ", "YN"), k), auto).alias("question_type"))
+    return with_ordinal(e, ["vec_id"], "pos").where(F.col("pos").isin(0, 7, 11))
 
 
 @query("SELECT question_type, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id, count(DISTINCT batch_name) AS batches FROM validation_batch GROUP BY 1")
@@ -101,25 +85,11 @@ def semi_anti(s, d):
 # ---------------------------------------------------------------- parsing
 
 
-@query("SELECT record_id, lower(trim(answer, ' ')) AS answer FROM validation_batch WHERE answer IS NULL OR regexp_full_match(answer, '[ -~]*')")
-def normalize_value(s, d):
-    a = F.col("answer")
-    return t(s, d, "validation_batch").where(a.isNull() | a.rlike("^[ -~]*$")).select("record_id", F.lower(F.trim(a)).alias("answer"))
-
-
 @query()
-def normalize_value_all(s, d):
+def normalize_value(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.normalize_text("answer").alias("answer"))
 
 
-@query(
-    "SELECT record_id, regexp_extract(question, '^([^?:]*)[?:]', 1) AS stem, regexp_extract(question, '^[^?:]*[?:](.*)$', 1) AS rest FROM validation_batch WHERE regexp_matches(question, '^[^?:\\n]*[?:][^\\n]*$')"
-)
-def split_mcq_question(s, d):
-    v = t(s, d, "validation_batch").where(F.col("question").rlike(r"^[^?:\n]*[?:][^\n]*\z"))
-    return v.select("record_id", F.regexp_extract("question", "^([^?:]*)[?:]", 1).alias("stem"), F.regexp_extract("question", r"^[^?:]*[?:](.*)$", 1).alias("rest"))
-
-
 @query(r"SELECT record_id, regexp_matches(lower(answer), '\b(bc|bce|b\.c\.|b\.c\.e\.)(\b|$| )') AS bc FROM validation_batch")
 def bc_indicator(s, d):
     return t(s, d, "validation_batch").select("record_id", fq.bc_indicator(F.col("answer")).alias("bc"))
@@ -131,16 +101,9 @@ def normalize_numeric_text(s, d):
 
 
 @query(
-    "SELECT file_id, line_no, coalesce(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.temp_qid') END, nullif(regexp_extract(payload, '\"temp_qid\": *\"([^\"]*)\"', 1), '')) AS temp_qid FROM judge_raw WHERE json_valid(payload)"
+    """SELECT file_id, line_no, coalesce(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.temp_qid') END, nullif(regexp_extract(payload, '"temp_qid"\\s*:\\s*"([^"]*)"', 1), ''), nullif(regexp_extract(payload, '"temp_qid"\\s*:\\s*(-?[0-9]+)\\s*[,}]', 1), '')) AS temp_qid FROM judge_raw"""
 )
 def extract_json_fallback(s, d):
-    r = t(s, d, "judge_raw").where("try_parse_json(payload) is not null")
-    found = F.nullif(F.regexp_extract("payload", '"temp_qid": *"([^"]*)"', 1), F.lit(""))
-    return r.select("file_id", "line_no", F.coalesce(F.get_json_object("payload", "$.temp_qid"), found).alias("temp_qid"))
-
-
-@query()
-def extract_json_fallback_all(s, d):
     r = t(s, d, "judge_raw")
     # a number counts only if something follows it: it may be cut off
     rule = r'"temp_qid"\s*:\s*(?:"([^"]*)"|(-?[0-9]+)\s*[,}])'
@@ -149,18 +112,6 @@ def extract_json_fallback_all(s, d):
     return r.select("file_id", "line_no", F.coalesce(parsed, found).alias("temp_qid"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'blocked' WHEN value < 10 THEN 'empty' ELSE 'ok' END AS gate FROM events")
-def finish_reason_gate(s, d):
-    reason = F.when(F.col("event_type") == "error", "SAFETY").otherwise("STOP")
-    return t(s, d, "events").select("event_id", fq.finish_gate(reason, (F.col("value") >= 10).cast("int")).alias("gate"))
-
-
-@query("SELECT source, CASE WHEN count(*) > 20 THEN 'full_book' ELSE 'partial_pilot' END AS scope FROM documents WHERE source IS NOT NULL GROUP BY 1")
-def run_scope(s, d):
-    g = t(s, d, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    return g.select("source", F.when(F.col("n") > 20, "full_book").otherwise("partial_pilot").alias("scope"))
-
-
 _FACT = ",".join(f"'{x}'" for x in fq.FACTUAL)
 _YES = ",".join(f"'{x}'" for x in fq.YES_NO)
 
@@ -181,20 +132,8 @@ def categorize_cascade_v0(s, d):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-def _near_pairs(s, d):
-    """Each vector with the next three of its label."""
-    e = t(s, d, "embeddings").withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    a = e.select("label", F.col("vec_id").alias("id_a"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("i"))
-    b = e.select("label", "i", F.col("vec_id").alias("id_b"), F.col("embedding").alias("y"))
-    return a.join(b, ["label", "i"]).select("label", "id_a", "id_b", fq.cosine(F.col("x"), F.col("y")).alias("cos"))
-
-
-_NEAR = f"e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), p AS (SELECT a.label, a.vec_id AS id_a, b.vec_id AS id_b, {_COS} AS cos FROM e a JOIN e b ON a.label = b.label AND b.i BETWEEN a.i + 1 AND a.i + 3)"
-
-
-@query(f"WITH {_NEAR} SELECT id_a, id_b, round(cos, 6) AS cos FROM p")
-def pairwise_cosine_batch(s, d):
-    return _near_pairs(s, d).select("id_a", "id_b", F.round("cos", 6).alias("cos"))
+_PAIRS = f"p AS (SELECT a.label, a.vec_id AS id_a, b.vec_id AS id_b, {_COS} AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+_TWO = f"{_PAIRS}, r AS (SELECT label, id_a, cos, row_number() OVER (PARTITION BY id_a ORDER BY cos DESC) AS rn FROM p)"
 
 
 TILE = 1024  # vectors a side of a tile
@@ -254,85 +193,30 @@ def _top_two(s, d):
     return top.select("label", "id_a", F.get("c", F.lit(0)).alias("best"), (F.get("c", F.lit(0)) - F.get("c", F.lit(1))).alias("margin"))
 
 
-@query()
-def pairwise_cosine_all(s, d):
+@query(f"WITH {_PAIRS} SELECT id_a, id_b, round(cos, 6) AS cos FROM p WHERE id_a < id_b")
+def pairwise_cosine_batch(s, d):
     pairs = _label_tiles(s, d, _all_pairs, "id_a long, id_b long, cos double")
     return pairs.select("id_a", "id_b", F.round(F.nanvl("cos", F.lit(None).cast("double")), 6).alias("cos"))
 
 
-@query()
-def best_variation_score_all(s, d):
+@query(f"WITH {_TWO} SELECT id_a, round(greatest(max(cos), 0.0), 6) AS best FROM r GROUP BY 1")
+def nearest_vector(s, d):
     return _top_two(s, d).select("id_a", F.round(F.greatest("best", F.lit(0.0)), 6).alias("best"))
 
 
-@query()
-def distractor_margin_all(s, d):
+@query(f"WITH {_TWO} SELECT id_a, round(max(cos) FILTER (rn = 1) - max(cos) FILTER (rn = 2), 6) AS margin FROM r GROUP BY 1")
+def nearest_vector_margin(s, d):
     return _top_two(s, d).select("id_a", F.round("margin", 6).alias("margin"))
 
 
-@query()
-def collision_risk_all(s, d):
+@query(f"WITH {_TWO} SELECT label, round(max(cos), 6) AS collision FROM r GROUP BY 1")
+def label_collision(s, d):
     return _top_two(s, d).groupBy("label").agg(F.round(F.max("best"), 6).alias("collision"))
 
 
-@query(
-    f"WITH {_TFIDF}, b AS (SELECT record_id AS id, {AW} AS n FROM validation_batch) SELECT CASE WHEN c > 0.05 THEN 'related' WHEN c > 0 THEN 'weak' ELSE 'zero' END AS bin, count(*) AS n FROM (SELECT v.record_id, coalesce(sum(w.w), 0) AS c FROM validation_batch v LEFT JOIN w ON w.record_id = v.record_id AND w.term = regexp_extract(lower(coalesce(v.answer,'')), '([a-z0-9]+)', 1) GROUP BY 1) GROUP BY 1"
-)
-def qa_similarity_bins(s, d):
-    v = t(s, d, "validation_batch").select("record_id", "question", F.get(fq.tokens(F.col("answer")), F.lit(0)).alias("term"))
-    w = tfidf(v, "record_id", fq.tokens(F.col("question"))).select("record_id", "term", "w")
-    c = v.select("record_id", "term").join(w, ["record_id", "term"], "left").select(F.coalesce("w", F.lit(0.0)).alias("c"))
-    x = F.col("c")
-    return c.groupBy(F.when(x > 0.05, "related").when(x > 0, "weak").otherwise("zero").alias("bin")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_TFIDF} SELECT record_id, arg_max(term, (w, term)) AS top_term FROM (SELECT record_id, term, round(w, 6) AS w FROM w) GROUP BY 1")
-def tfidf_transform(s, d):
-    w = tfidf(t(s, d, "validation_batch").select("record_id", "question"), "record_id", fq.tokens(F.col("question")))
-    return w.groupBy("record_id").agg(F.max_by("term", F.struct(F.round("w", 6).alias("w"), "term")).alias("top_term"))
-
-
 # ---------------------------------------------------------------- gates and compositions
 
 
-@query(
-    "SELECT m.match_id, CASE WHEN quote_similarity >= 0.9 THEN 'AUTO_DELETE' WHEN quote_similarity >= 0.7 THEN 'REVIEW' ELSE 'KEEP' END AS action FROM quote_matches m WHERE quote_similarity IS NOT NULL AND NOT isnan(quote_similarity)"
-)
-def dedup_vs_canonical(s, d):
-    q = F.col("quote_similarity")
-    m = t(s, d, "quote_matches").where(q.isNotNull() & ~F.isnan(q))
-    return m.select("match_id", F.when(q >= 0.9, "AUTO_DELETE").when(q >= 0.7, "REVIEW").otherwise("KEEP").alias("action"))
-
-
-@query(
-    "SELECT level, count(DISTINCT id) AS members FROM (SELECT l.level, unnest([temp_qid_a, temp_qid_b]) AS id FROM quote_matches m JOIN (VALUES (0.9), (0.7), (0.5)) l(level) ON m.quote_similarity >= l.level AND NOT isnan(m.quote_similarity)) WHERE id IS NOT NULL GROUP BY 1"
-)
-def threshold_sweep_new_members(s, d):
-    q = F.col("quote_similarity")
-    m = t(s, d, "quote_matches").where(q.isNotNull() & ~F.isnan(q))
-    levels = F.array(*[F.lit(x).cast("decimal(2,1)") for x in (0.9, 0.7, 0.5)])
-    each = m.select(F.explode(levels).alias("level"), q.alias("q"), F.explode(F.array("temp_qid_a", "temp_qid_b")).alias("id"))
-    return each.where("q >= level and id is not null").groupBy("level").agg(F.countDistinct("id").alias("members"))
-
-
-@query(
-    "SELECT staging_id, CASE WHEN n > 1 THEN 'duplicate' ELSE 'new' END AS status FROM (SELECT staging_id, count(*) OVER (PARTITION BY question, answer) AS n FROM staging_batch)"
-)
-def ingest_duplicate_check(s, d):
-    b = t(s, d, "staging_batch").select("staging_id", "question", "answer")
-    many = b.groupBy("question", "answer").count().where("count > 1")
-    j = b.join(many, ["question", "answer"], "left")
-    return j.select("staging_id", F.when(F.col("count").isNotNull(), "duplicate").otherwise("new").alias("status"))
-
-
-@query(
-    f"SELECT staging_id, k AS main_keyword, CAST(len(regexp_extract_all(coalesce(answer,''), '[A-Za-z0-9_]+')) AS BIGINT) AS answer_length FROM (SELECT *, {KEYWORD} AS k FROM staging_batch) WHERE question IS NOT NULL AND answer IS NOT NULL AND question_type IN ('FR','MCQ','EX')"
-)
-def ingest_pipeline(s, d):
-    b = t(s, d, "staging_batch").dropna(subset=["question", "answer"]).where(F.col("question_type").isin("FR", "MCQ", "EX"))
-    return b.select("staging_id", fq.main_keyword(fq.tokens(F.col("question"))).alias("main_keyword"), fq.word_count(F.col("answer")).alias("answer_length"))
-
-
 @query(
     "SELECT record_id, question, answer, explanation FROM validation_batch WHERE question_type IN ('EX','FR','MCQ') AND answer IS NOT NULL AND explanation IS NOT NULL AND (question_type <> 'MCQ' OR len(mcq_options) = 4)"
 )
@@ -342,20 +226,3 @@ def promote_gold(s, d):
     return v.where((k != "MCQ") | (F.size("mcq_options") == 4)).select("record_id", "question", "answer", "explanation")
 
 
-@query(
-    "SELECT count(*) > 0 AS not_empty, count(*) = count(DISTINCT record_id) AS unique_ids, count(*) = count(question) AS no_null_question FROM validation_batch"
-)
-def startup_gate(s, d):
-    n = F.count("*")
-    return t(s, d, "validation_batch").agg((n > 0).alias("not_empty"), (n == F.countDistinct("record_id")).alias("unique_ids"), (n == F.count("question")).alias("no_null_question"))
-
-
-@query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT temp_qid_a AS a, temp_qid_b AS b FROM quote_matches WHERE is_match AND temp_qid_a <> temp_qid_b UNION SELECT temp_qid_b, temp_qid_a FROM quote_matches WHERE is_match AND temp_qid_a <> temp_qid_b), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY 1) SELECT DISTINCT j.temp_qid, coalesce(c.cluster, j.temp_qid) AS golden, coalesce(c.cluster <> j.temp_qid, false) AS is_duplicate FROM judge_batch j LEFT JOIN c ON c.node = j.temp_qid"
-)
-def tag_duplicates_override(s, d):
-    c = connected(t(s, d, "quote_matches").where("is_match"), "temp_qid_a", "temp_qid_b")
-    j = t(s, d, "judge_batch").select("temp_qid").distinct().join(c.withColumnRenamed("node", "temp_qid"), "temp_qid", "left")
-    return j.select("temp_qid", F.coalesce("cluster", "temp_qid").alias("golden"), F.coalesce(F.col("cluster") != F.col("temp_qid"), F.lit(False)).alias("is_duplicate"))
-
-

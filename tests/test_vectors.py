@@ -19,13 +19,13 @@ def test_all_pairs_of_a_label(spark, tmp_path, monkeypatch, tile):
     norm = np.linalg.norm(y, axis=1)
     cos = lambda a, b: float(y[a] @ y[b] / (norm[a] * norm[b])) if norm[a] and norm[b] else None
     want = {(a, b): cos(a, b) for a in ids for b in ids if a < b and labels[a] == labels[b]}
-    got = [tuple(r) for r in registry.QUERIES["pairwise_cosine_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.QUERIES["pairwise_cosine_batch"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want)
     assert {(a, b): c for a, b, c in got} == {k: v if v is None else pytest.approx(v, abs=1e-5) for k, v in want.items()}
     near = {a: sorted((v for k, v in want.items() if a in k and v is not None), reverse=True) for a in ids}
-    best = {r.id_a: r.best for r in registry.QUERIES["best_variation_score_all"](spark, str(tmp_path)).collect()}
+    best = {r.id_a: r.best for r in registry.QUERIES["nearest_vector"](spark, str(tmp_path)).collect()}
     assert best == {a: pytest.approx(max([0.0, *c[:1]]), abs=1e-5) for a, c in near.items()}
-    margin = {r.id_a: r.margin for r in registry.QUERIES["distractor_margin_all"](spark, str(tmp_path)).collect()}
+    margin = {r.id_a: r.margin for r in registry.QUERIES["nearest_vector_margin"](spark, str(tmp_path)).collect()}
     assert margin == {a: pytest.approx(c[0] - c[1], abs=1e-5) if len(c) > 1 else None for a, c in near.items()}
-    risk = {r.label: r.collision for r in registry.QUERIES["collision_risk_all"](spark, str(tmp_path)).collect()}
+    risk = {r.label: r.collision for r in registry.QUERIES["label_collision"](spark, str(tmp_path)).collect()}
     assert risk == {k: pytest.approx(max(near[a][0] for a in ids if labels[a] == k and near[a]), abs=1e-5) if k != 9 else None for k in (0, 1, 2, 9)}
