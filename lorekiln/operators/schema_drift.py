@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.plans.order import with_previous
@@ -157,7 +157,10 @@ def match_renames(removed: list[dict], added: list[dict]) -> list[tuple[dict, di
 def with_parts(prof: DataFrame) -> DataFrame:
     """``schema_profile`` with the weighted parts of each name: the fewer fields of one file share a part, the more it
     tells."""
-    split = F.udf(name_parts, "array<string>")
+    @F.pandas_udf("array<string>")
+    def split(paths: pd.Series) -> pd.Series:
+        return paths.map(name_parts)
+
     paths = prof.select("path").distinct().withColumn("parts", split("path"))
     prose = F.when(F.col("chars") >= LONG, 1).when(F.col("chars") <= SHORT, -1).otherwise(0)
     used = prof.select("file", "path", prose.alias("prose")).join(paths, "path").select("file", "prose", F.explode("parts").alias("part"))
@@ -237,7 +240,9 @@ def schema_changes(
 
 
 def field_lineage(changes: DataFrame, schemas: DataFrame, files: DataFrame, file_id: str = "file_id") -> DataFrame:
-    """(file, path, field): the name under which a lineage of kept and renamed fields first appeared in its series.
+    """(file, path, field): the name under which a lineage of kept and renamed fields first appeared in its series. Of
+    several lineages of a series that began under one name, the later ones have a number behind it, so that two fields
+    of one file never share a name.
 
     Each field points to its counterpart in the file before; pointers are doubled until all reach the first one, so a
     series of n files takes about log2(n) joins.
@@ -257,7 +262,13 @@ def field_lineage(changes: DataFrame, schemas: DataFrame, files: DataFrame, file
         ptr = nxt.drop("hop")
         ptr._staged_at = nxt._staged_at  # noqa: SLF001
         if not hops:
-            return ptr.select("file", "path", F.coalesce("to.path", "path").alias("field"))
+            break
+    at = ptr.select("file", "path", F.coalesce("to", F.struct("file", "path")).alias("root"))
+    roots = at.select("root").distinct().join(files.select(F.col("file").alias("f"), "series", "seq"), F.col("root.file") == F.col("f"))
+    k = F.row_number().over(Window.partitionBy("series", "root.path").orderBy("seq", "root.file"))  # a row a beginning
+    name = F.when(F.col("k") == 1, F.col("root.path")).otherwise(F.concat(F.col("root.path"), F.lit("#"), F.col("k").cast("string")))
+    named = roots.withColumn("k", k).select("root", name.alias("field"))
+    return work.put(at.join(named, "root").select("file", "path", "field"), "lineage")
 
 
 def common_fields(series: list[list[dict]]) -> list[dict[str, str]]:
@@ -321,28 +332,30 @@ def cast_json(kind: str, value: str, target: str | None) -> str:
 
 
 def _once(records: DataFrame, file_id: str, line: str, payload: str) -> DataFrame:
-    """(f, n, d): one readable copy of each line, the smallest."""
+    """(f, rec, n, d, versions): one readable copy of each line, the smallest, and how many different readable ones it
+    has. A record without a line number is told by its text."""
 
     @F.pandas_udf("boolean")
     def readable(docs: pd.Series) -> pd.Series:
         return docs.map(is_record)
 
-    r = records.where(F.col(file_id).isNotNull() & F.col(line).isNotNull() & F.col(payload).isNotNull())
-    r = r.select(F.col(file_id).alias("f"), F.col(line).alias("n"), F.col(payload).alias("d")).distinct()
-    return r.where(readable("d")).groupBy("f", "n").agg(F.min("d").alias("d"))
+    r = records.where(F.col(file_id).isNotNull() & F.col(payload).isNotNull())
+    rec = F.coalesce(F.col(line).cast("string"), F.concat(F.lit("#"), F.md5(payload)))
+    r = r.select(F.col(file_id).alias("f"), rec.alias("rec"), F.col(line).alias("n"), F.col(payload).alias("d")).distinct()
+    return r.where(readable("d")).groupBy("f", "rec").agg(F.min("n").alias("n"), F.min("d").alias("d"), F.count("*").alias("versions"))
 
 
 def _flat(once: DataFrame) -> DataFrame:
-    """(file, line, path, kind, value, boolean, number) of every non-object value."""
+    """(file, rec, path, kind, value, boolean, number) of every non-object value."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, n, p, t, v, *_casts(t, v)) for f, n, doc in zip(b["f"], b["n"], b["d"]) for p, t, v, _ in leaves(doc)]
+            rows = [(f, r, p, t, v, *_casts(t, v)) for f, r, doc in zip(b["f"], b["rec"], b["d"]) for p, t, v, _ in leaves(doc)]
             if rows:
-                yield pd.DataFrame(rows, columns=["file", "line", "path", "kind", "value", "boolean", "number"])
+                yield pd.DataFrame(rows, columns=["file", "rec", "path", "kind", "value", "boolean", "number"])
 
-    ids, no = (once.schema[c].dataType.simpleString() for c in "fn")
-    return once.mapInPandas(flatten, f"file {ids}, line {no}, path string, kind string, value string, boolean boolean, number boolean")
+    ids = once.schema["f"].dataType.simpleString()
+    return once.select("f", "rec", "d").mapInPandas(flatten, f"file {ids}, rec string, path string, kind string, value string, boolean boolean, number boolean")
 
 
 def migration_steps(
@@ -359,7 +372,8 @@ def migration_steps(
     work = Stages(schemas.sparkSession, "steps")
     rich = with_parts(schemas).join(lineage, ["file", "path"]).join(files.select("file", "series"), "file")
     weight = F.greatest("n", F.lit(1))
-    roots = rich.where("path = field").groupBy("series", "field").agg(
+    began = F.col("path").isin(F.col("field"), F.regexp_replace("field", "#[0-9]+$", ""))
+    roots = rich.where(began).groupBy("series", "field").agg(
         F.max_by("parts", "n").alias("parts"), F.sum("n").alias("n"), F.avg("distinct_share").alias("distinct_share"),
         (F.sum(F.col("chars") * weight) / F.sum(F.when(F.col("chars").isNotNull(), weight))).alias("chars"),
     )
@@ -397,13 +411,14 @@ def unify_records(
     records: DataFrame, lineage: DataFrame, files: DataFrame, file_id: str = "file_id", line: str = "line_no", payload: str = "payload",
     steps: DataFrame | None = None,
 ) -> DataFrame:
-    """One consistent table of all readable records: (``file_id``, series, seq, ``line``, fingerprint, fields).
+    """One consistent table of all readable records: (``file_id``, series, seq, ``line``, fingerprint, versions, fields).
 
     With ``steps`` (of ``migration_steps``) ``fields`` maps every common field to its JSON text in the field's one
-    type, null where the record or its file has none. Without, it maps the fields a record has, by lineage name, to
-    their JSON text as it stands. Lines delivered twice appear once (the smallest readable payload, if they differ).
+    type, null where the record or its file has none. Files whose schemas need the same steps share one set of rules,
+    by which their records are routed. Without, it maps the fields a record has, by lineage name, to their JSON text as
+    it stands. Lines delivered twice appear once: the smallest readable payload; ``versions`` counts the different ones.
     """
-    once = _once(records, file_id, line, payload)
+    once = Stages(records.sparkSession, "unify").put(_once(records, file_id, line, payload), "once")
     if steps is None:
         rules = lineage.select("file", "path", F.col("field").alias("name"), F.lit(None).cast("string").alias("new_type"))
     else:
@@ -413,15 +428,44 @@ def unify_records(
     def cast(kind: pd.Series, value: pd.Series, target: pd.Series) -> pd.Series:
         return pd.Series([cast_json(k, v, x) for k, v, x in zip(kind, value, target)], dtype=object)
 
-    named = _flat(once).join(rules, ["file", "path"])
+    rule = F.concat_ws("\x1f", "path", "name", "new_type")
+    route = rules.groupBy("file").agg(F.md5(F.array_join(F.sort_array(F.collect_list(rule)), "\n")).alias("route"))
+    rules = rules.join(route, "file").select("route", "path", "name", "new_type").distinct()
+    named = _flat(once).join(route, "file").join(rules, ["route", "path"])
     if steps is not None:
         named = named.withColumn("value", cast("kind", "value", "new_type"))
-    rows = named.groupBy("file", "line", "name").agg(F.max(F.when(F.col("kind") != "", F.col("value"))).alias("value"))
-    rows = rows.groupBy("file", "line").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
-    rows = once.select(F.col("f").alias("file"), F.col("n").alias("line")).join(rows, ["file", "line"], "left")
+    rows = named.groupBy("file", "rec", "name").agg(F.max(F.when(F.col("kind") != "", F.col("value"))).alias("value"))
+    rows = rows.groupBy("file", "rec").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
+    rows = once.select(F.col("f").alias("file"), "rec", F.col("n").alias("line"), "versions").join(rows, ["file", "rec"], "left")
     if steps is not None:
         every = steps.agg(F.sort_array(F.collect_set("name")).alias("names"))
         filled = F.map_from_arrays("names", F.transform("names", lambda n: F.col("fields")[n]))
-        rows = rows.crossJoin(F.broadcast(every)).select("file", "line", filled.alias("fields"))
+        rows = rows.crossJoin(F.broadcast(every)).select("file", "line", "versions", filled.alias("fields"))
     out = rows.join(files.select("file", "series", "seq", "fingerprint"), "file")
-    return out.select(F.col("file").alias(file_id), "series", "seq", F.col("line").alias(line), "fingerprint", "fields")
+    return out.select(F.col("file").alias(file_id), "series", "seq", F.col("line").alias(line), "fingerprint", "versions", "fields")
+
+
+def typed_records(unified: DataFrame, steps: DataFrame) -> DataFrame:
+    """``unify_records`` with a column of its own for every common field: numbers as doubles, booleans, strings, and
+    arrays of strings (of JSON texts where their parts are no strings). Dots in names become underscores; a name that is
+    taken gets a number. The fields are those of ``steps``, one row each on the driver."""
+    kinds = sorted((r.name, r.new_type) for r in steps.select("name", "new_type").distinct().collect())
+    keys = [c for c in unified.columns if c != "fields"]
+    taken, cols = set(keys), []
+    for name, kind in kinds:
+        base = column = name.replace(".", "_").replace("#", "_")
+        k = 2
+        while column in taken:
+            column, k = f"{base}_{k}", k + 1
+        taken.add(column)
+        v = F.col("fields")[name]
+        if kind == "number":
+            v = v.try_cast("double")
+        elif kind == "boolean":
+            v = F.when(v.isNotNull(), v == "true")
+        elif kind == "array":
+            v = F.from_json(v, "array<string>")
+        else:
+            v = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+        cols.append(v.alias(column))
+    return unified.select(*keys, *cols)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekiln.operators.schema_drift import field_lineage, migration_steps, schema_changes, unify_records
+from lorekiln.operators.schema_drift import field_lineage, migration_steps, schema_changes, typed_records, unify_records
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,7 +21,8 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, sf)
     changes, schemas, files = schema_changes(raw)
     lineage = field_lineage(changes, schemas, files)
-    return unify_records(raw, lineage, files, steps=migration_steps(raw, lineage, schemas, files))
+    steps = migration_steps(raw, lineage, schemas, files)
+    return typed_records(unify_records(raw, lineage, files, steps=steps), steps)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_unified": p5_unified}

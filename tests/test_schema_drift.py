@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lorekiln.operators.schema_drift import cast_json, field_lineage, leaves, migration_steps, name_parts, schema_changes, unify_records
+from lorekiln.operators.schema_drift import cast_json, field_lineage, leaves, migration_steps, name_parts, schema_changes, typed_records, unify_records
 from lorekiln.plans.order import with_previous
 
 SHAPE = "file_id long, series string, file_seq int, line_no int, payload string, path string, n int"
@@ -100,3 +100,34 @@ def test_casts():
     assert cast_json("boolean", "true", "number") == "1" and cast_json("string", '"3"', "number") == "3"
     assert cast_json("number", "3", "string") == '"3"' and cast_json("number", "3", "array") == "[3]"
     assert cast_json("string", '"Yes"', "boolean") == "true" and cast_json("", "null", "array") == "null"
+
+
+def test_two_lineages_of_one_name_keep_their_values(spark):
+    """A field moves, and later another one appears under its old name: both keep all their values."""
+    make = [lambda i: {"alpha_score": i}, lambda i: {"total": {"alpha_score": i}}, lambda i: {"total": {"alpha_score": i}, "alpha_score": 100 + i}]
+    df = table(spark, [(k + 1, "s", k + 1, records(10, m)) for k, m in enumerate(make)])
+    changes, schemas, files = schema_changes(df)
+    lineage = field_lineage(changes, schemas, files)
+    got = {(r.file, r.path): r.field for r in lineage.collect()}
+    assert got[(2, "total.alpha_score")] == got[(3, "total.alpha_score")] == got[(1, "alpha_score")] == "alpha_score"
+    assert got[(3, "alpha_score")] == "alpha_score#2"
+    rows = unify_records(df, lineage, files).collect()
+    assert sorted(r.fields["alpha_score"] for r in rows if r.file_id == 3) == sorted(map(str, range(10)))
+    assert sorted(r.fields["alpha_score#2"] for r in rows if r.file_id == 3) == [str(100 + i) for i in range(10)]
+    steps = migration_steps(df, lineage, schemas, files)
+    typed = typed_records(unify_records(df, lineage, files, steps=steps), steps)
+    numbers = [c for c, t in typed.dtypes if t == "double"]
+    assert len(numbers) == 2
+    total = sorted(x for r in typed.collect() for x in (r[c] for c in numbers) if x is not None)
+    assert total == sorted([float(i) for i in range(10)] * 3 + [100.0 + i for i in range(10)])
+
+
+def test_typed_columns_lines_without_number_and_differing_copies(spark):
+    rows = [(1, "s", 1, None, '{"a": "x", "b": [1], "series": true}', "c", 1), (1, "s", 1, None, '{"a": "y"}', "c", 1), (1, "s", 1, None, '{"a": "y"}', "c", 1), (1, "s", 1, 4, '{"a": "p"}', "c", 1), (1, "s", 1, 4, '{"a": "q"}', "c", 1)]
+    df = spark.createDataFrame(rows, SHAPE)
+    changes, schemas, files = schema_changes(df)
+    lineage = field_lineage(changes, schemas, files)
+    steps = migration_steps(df, lineage, schemas, files)
+    got = typed_records(unify_records(df, lineage, files, steps=steps), steps)
+    assert got.columns == ["file_id", "series", "seq", "line_no", "fingerprint", "versions", "a", "b", "series_2"]
+    assert sorted((r.line_no or 0, r.a, r.b, r.series_2, r.versions) for r in got.collect()) == [(0, "x", ["1"], True, 1), (0, "y", None, None, 1), (4, "p", None, None, 2)]
