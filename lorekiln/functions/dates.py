@@ -10,6 +10,8 @@ HOLIDAYS = (
     ("halloween", "october 31"), ("valentines day", "february 14"), ("valentine's day", "february 14"), ("christmas", "december 25"),
     ("christmas eve", "december 24"), ("new years eve", "december 31"), ("new year's eve", "december 31"),
 )
+#: Fixed value: an ordinal's ending behind its number.
+ORDINAL = r"([0-9])(st|nd|rd|th|rst)\b"
 STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 MONTH = (
     "(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
@@ -31,7 +33,7 @@ FORMATS = (
 def normalize_date_text(c: Column) -> Column:
     """Lower case and trimmed, without asides in brackets and endings of ordinals, days with names as dates."""
     t = F.regexp_replace(F.trim(F.lower(c)), r"\(.*?\)", "")
-    t = F.regexp_replace(t, r"([0-9])(st|nd|rd|th|rst)\b", "$1")
+    t = F.regexp_replace(t, ORDINAL, "$1")
     for name, date in HOLIDAYS:
         t = F.replace(t, F.lit(name), F.lit(date))
     return t

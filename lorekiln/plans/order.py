@@ -40,3 +40,13 @@ def with_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     out = parts.withColumn("_i", inside).join(F.broadcast(before), "_part")
     return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_part", "_i", "_before")
+
+
+def quantile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """One row with the exact quantile of a column, between two values by linear interpolation; null without values. The
+    column is sorted over range partitions, so no task holds all its distinct values."""
+    rows = with_ordinal(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"], "i")
+    at = rows.agg(((F.count("*") - 1) * F.lit(share)).alias("at"))  # one row
+    near_by = rows.join(F.broadcast(at)).where(F.col("i").between(F.floor("at"), F.ceil("at")))  # two rows at most
+    low, high = F.min_by("v", "i"), F.max_by("v", "i")
+    return near_by.agg((low + (high - low) * (F.max("at") - F.min("i"))).alias(name))

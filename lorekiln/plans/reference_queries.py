@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions import questions as fq
 from lorekiln.operators import evaluate
 from lorekiln.operators.clusters import connected
-from lorekiln.plans.order import with_ordinal
+from lorekiln.plans.order import quantile, with_ordinal
 from lorekiln.streaming.telemetry import windowed_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,7 +215,7 @@ def number_word_gt_10(s, d):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.9) FROM orders)")
 def percentile_filter(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_totalprice")
-    p = o.agg(F.percentile("o_totalprice", F.lit(0.9)).alias("p90"))  # one row
+    p = quantile(o, "o_totalprice", 0.9, "p90")
     return o.join(F.broadcast(p), F.col("o_totalprice") >= F.col("p90")).drop("p90")
 
 
@@ -819,16 +819,6 @@ def tfidf_fit(s, d):
 # ---------------------------------------------------------------- vectors and matching
 
 
-@query(
-    "SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id + 1 = b.vec_id"
-)
-def cosine_similarity(s, d):
-    e = t(s, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("id_a"), "label", F.col("embedding").alias("x"), (F.col("vec_id") + 1).alias("id_b"))
-    b = e.select(F.col("vec_id").alias("id_b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, ["label", "id_b"]).select("id_a", "id_b", F.round(fq.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
-
-
 @query("SELECT record_id, lower(trim(answer,' ')) = lower(trim(answer_variations[1],' ')) AS exact FROM validation_batch WHERE answer IS NOT NULL")
 def exact_match(s, d):
     f = lambda c: F.lower(F.trim(c))

@@ -52,8 +52,11 @@ def chapter_listing(s, d):
     "SELECT batch_no, staging_id, 'run1_' || batch_no || '_' || row_number() OVER (PARTITION BY batch_no ORDER BY staging_id) AS lineage_id FROM staging_batch"
 )
 def jsonl_lineage(s, d):
-    n = F.row_number().over(Window.partitionBy("batch_no").orderBy("staging_id"))
-    return t(s, d, "staging_batch").select("batch_no", "staging_id", F.concat_ws("_", F.lit("run1"), "batch_no", n).alias("lineage_id"))
+    # numbered over all batches by range partitions, then from each batch's first on: a large batch is no task of its own
+    rows = with_ordinal(t(s, d, "staging_batch").select("batch_no", "staging_id"), ["batch_no", "staging_id"], "i")
+    first = rows.groupBy("batch_no").agg(F.min("i").alias("first"))
+    n = F.col("i") - F.col("first") + 1
+    return rows.join(first, "batch_no").select("batch_no", "staging_id", F.concat_ws("_", F.lit("run1"), "batch_no", n).alias("lineage_id"))
 
 
 @query("SELECT vec_id, label, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos FROM embeddings QUALIFY pos IN (0, 7, 11)")

@@ -107,6 +107,18 @@ def tfidf_exact_answers(v):
     return x.join(norm, "record_id").select("record_id", "term", (F.col("x") / F.col("norm")).alias("wa"))
 
 
+BLOCKS = 16  # blocks of rows that a query set meets one by one
+
+
+@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
+def cosine_similarity(s, d):
+    """Every vector whose id is divisible by 50 against all others, block by block."""
+    e = t(s, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id_a"), F.col("embedding").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    rows = e.select(F.col("vec_id").alias("id_b"), F.col("embedding").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    return q.join(rows, "block").where("id_a <> id_b").select("id_a", "id_b", F.round(fq.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
+
+
 # ---------------------------------------------------------------- groups
 
 LEVELS = (0.95, 0.9, 0.8)
