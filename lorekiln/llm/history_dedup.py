@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from lorekiln.plans.stage import Stages
 
 ROTATIONS = (0, 32)
-BLOCK_BITS = 32  # leading bits of a block: fingerprints at most one bit apart share a block of one of the two rotations
+BLOCK_BITS = 32  # leading bits that a rotation looks at; of fingerprints MAX_DISTANCE apart, one half differs in one bit at most
+SPARED = (0, 8, 16, 24)  # each table leaves one byte of them out, so that bit may be anywhere
 MAX_DISTANCE = 3
 PAIR_BLOCK = 64  # rows of a block that are compared pair by pair; of larger ones first all with the earliest
 CHUNKS = 32  # parts of a large block
@@ -215,17 +216,19 @@ def fingerprints(rows: DataFrame, row_id: str, batch: str, question: str, quote:
 
 
 def block_rows(prints: DataFrame) -> DataFrame:
-    """(block, at, f): the fingerprints of all views in every rotated table; a block is named by rotation, kind and
-    leading bits, so that any view of one row may meet any of another. ``at`` is (batch, id), the order of rows."""
+    """(block, at, f): the fingerprints of all views in every table, so that any view of one row may meet any of another.
+    A block is named by rotation, byte left out, kind and the other leading bits: of two fingerprints up to
+    ``MAX_DISTANCE`` = 3 bits apart one half differs in one bit or none, and the table without that bit's byte holds both
+    in one block. ``at`` is (batch, id), the order of rows."""
     each = prints.select(F.struct("batch", "id").alias("at"), "kind", F.explode("prints").alias("f"))
 
-    def lead(r: int) -> Column:
+    def lead(r: int, spared: int) -> Column:
         f = F.col("f")
         turned = f if r == 0 else F.shiftleft(f, r).bitwiseOR(F.shiftrightunsigned(f, 64 - r))
-        return F.struct(F.lit(r).alias("rotation"), F.shiftrightunsigned(turned, 64 - BLOCK_BITS).alias("prefix"))
+        kept = F.shiftrightunsigned(turned, 64 - BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1 ^ 0xFF << spared))
+        return F.xxhash64(F.lit(r), F.lit(spared), "kind", kept)
 
-    out = each.select("at", "kind", "f", F.explode(F.array(*map(lead, ROTATIONS))).alias("t"))
-    return out.select(F.xxhash64("t.rotation", "kind", "t.prefix").alias("block"), "at", "f")
+    return each.select(F.explode(F.array(*[lead(r, b) for r in ROTATIONS for b in SPARED])).alias("block"), "at", "f")
 
 
 def same_fact(pairs: DataFrame, prints: DataFrame) -> DataFrame:

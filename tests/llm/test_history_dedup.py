@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,14 @@ def test_one_bit_apart_always_meets():
         f, g = 0x123456789ABCDEF1, 0x123456789ABCDEF1 ^ 1 << bit
         turned = [[((x << r | x >> (64 - r)) & (2**64 - 1)) >> (64 - history_dedup.BLOCK_BITS) if r else x >> 32 for r in history_dedup.ROTATIONS] for x in (f, g)]
         assert any(p == q for p, q in zip(*turned))
+
+
+def test_all_within_the_distance_share_a_block(spark):
+    """Every pair of fingerprints up to MAX_DISTANCE bits apart meets, wherever the bits are."""
+    rng, f = random.Random(5), 0x123456789ABCDEF1
+    flips = [c for n in range(history_dedup.MAX_DISTANCE) for c in itertools.combinations(range(64), n)] + [tuple(rng.sample(range(64), 3)) for _ in range(500)]
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    rows = [(1, i, "who", [signed(f ^ sum(1 << b for b in c))]) for i, c in enumerate(flips)]
+    blocks = history_dedup.block_rows(spark.createDataFrame(rows, "batch long, id long, kind string, prints array<long>"))
+    first = blocks.where("at.id = 0").select("block")
+    assert blocks.join(first, "block").select("at.id").distinct().count() == len(flips)
