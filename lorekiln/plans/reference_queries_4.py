@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lorekiln.functions import embedding, statistics
 from lorekiln.functions import questions as fq
 from lorekiln.operators.clusters import connected
-from lorekiln.operators.similar import best_earlier, similar_pairs
+from lorekiln.operators.similar import best_earlier, most_similar, similar_pairs
 from lorekiln.plans.reference_queries import _TFIDF, AW, KEYWORD, TOK, query, t, tfidf
 from lorekiln.plans.reference_queries_3 import _OTHERS, sql_buckets, sql_similar, sql_tokens
+from lorekiln.plans.stage import Stages
 from lorekiln.sources import files
 
 # ---------------------------------------------------------------- similar texts
@@ -45,9 +46,7 @@ def cross_pairs_threshold(s, d):
 @query(f"WITH {_STAGED}, dots AS ({_DOTS}) SELECT id_a, id_b, sim FROM dots WHERE sim >= 0.6 AND sim >= (SELECT max(sim) FROM dots) - 1e-6 ORDER BY id_a, id_b LIMIT 20")
 def max_similarity_pairs(s, d):
     """The first 20 of the pairs that reach the largest similarity."""
-    pairs = similar_pairs(_weights(s, d), "staging_id", 0.6)
-    most = pairs.agg(F.max("sim").alias("most"))  # one row
-    return pairs.join(F.broadcast(most)).where("sim >= most - 1e-6").select("id_a", "id_b", "sim").orderBy("id_a", "id_b").limit(20)
+    return most_similar(_weights(s, d), "staging_id", 0.6, 20, Stages(s, "similar"))
 
 
 @query(
